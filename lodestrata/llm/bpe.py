@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 #: Pieces kept in a worker's memo; it is emptied when full, which changes speed only.
-MEMO = 150_000
+MEMO = 300_000
 #: Words sent to one recursive query hold about this many bytes in all (one word may be longer).
 QUERY_BYTES = 400_000
 #: Longer words contract all places of their smallest rank at once, checked to be the same thing.
@@ -86,6 +86,7 @@ class Codec:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the rank table must hold all 256 single bytes")
         self.ranks = ranks
+        self.known = np.array(sorted(ranks.values()), np.int32)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         triples = [(ranks[t[:c]], ranks[t[c:]], i) for t, i in ranks.items() for c in range(1, len(t)) if t[:c] in ranks and t[c:] in ranks]
@@ -107,13 +108,10 @@ class Codec:
         p = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
         return pa.table({"w": w, "p": p, "t": self.byte[np.frombuffer(b"".join(words), np.uint8)]})
 
-    def _split(self, got: pa.Table, n: int) -> list[np.ndarray]:
-        w, t = got["w"].to_numpy(), got["t"].to_numpy().astype(np.int32)
-        return np.split(t, np.searchsorted(w, np.arange(1, n)))
-
-    def _short(self, words: Sequence[bytes]) -> list[np.ndarray]:
+    def _short(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         self._table("start", self._positions(words))
-        return self._split(self._run(_ENCODE), len(words))
+        got = self._run(_ENCODE)
+        return got["t"].to_numpy().astype(np.int32), np.bincount(got["w"].to_numpy(), minlength=len(words))
 
     def _long(self, word: bytes) -> np.ndarray:
         rows = self._positions([word]).append_column("prev", pa.array(np.full(len(word), -1, np.int32)))
@@ -126,55 +124,80 @@ class Codec:
                 return got["t"].to_numpy().astype(np.int32)
             rows = got.select(["w", "p", "t", "prev"])
 
-    def encode(self, words: Sequence[bytes]) -> list[np.ndarray]:
-        """Ids of each word; a word that is itself a token is that token, as in the usual library."""
-        out: list = [None] * len(words)
-        todo, size = [], 0
-
-        def flush():
-            nonlocal todo, size
-            for i, ids in zip(todo, self._short([words[i] for i in todo]), strict=True) if todo else ():
-                out[i] = ids
-            todo, size = [], 0
-
+    def encode(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, number of ids of each word).
+
+        A word that is itself a token is that token, as in the usual library.
+        """
+        whole = [self.ranks.get(w, -1) for w in words]
+        ids = np.array(whole, np.int32)
+        n = (ids >= 0).astype(np.int64)
+        groups, size = [[]], 0
+        for i in np.flatnonzero(ids < 0).tolist():
+            if size >= QUERY_BYTES:
+                groups.append([])
+                size = 0
+            if 0 < len(words[i]) <= LONG_WORD:
+                groups[-1].append(i)
+                size += len(words[i])
+        done = []
+        for g in groups:
+            if g:
+                flat, count = self._short([words[i] for i in g])
+                n[g] = count
+                done.append((np.array(g), flat))
         for i, w in enumerate(words):
-            if (whole := self.ranks.get(w)) is not None:
-                out[i] = np.array([whole], np.int32)
-            elif not w:
-                out[i] = np.zeros(0, np.int32)
-            elif len(w) > LONG_WORD:
-                out[i] = self._long(w)
-            else:
-                todo.append(i)
-                size += len(w)
-                if size >= QUERY_BYTES:
-                    flush()
-        flush()
-        return out
-
-    def decode(self, ids: Sequence[np.ndarray]) -> list[bytes]:
-        """Bytes of each id sequence; unknown ids raise."""
-        n = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids).astype(np.int32) if len(ids) else np.zeros(0, np.int32)
-        p = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-        self._table("ids", pa.table({"w": np.repeat(np.arange(len(ids), dtype=np.int32), n), "p": p, "t": flat}))
-        if self._run("SELECT count(*) AS n FROM ids k ANTI JOIN vocab v ON v.t = k.t")["n"][0].as_py():
+            if len(w) > LONG_WORD and ids[i] < 0:
+                flat = self._long(w)
+                n[i] = len(flat)
+                done.append((np.array([i]), flat))
+        start = np.cumsum(n) - n
+        out = np.empty(int(n.sum()), np.int32)
+        out[start[ids >= 0]] = ids[ids >= 0]
+        for g, flat in done:
+            c = n[g]
+            out[np.repeat(start[g] - (np.cumsum(c) - c), c) + np.arange(len(flat))] = flat
+        return out, n
+
+    def decode(self, flat: np.ndarray, n: np.ndarray) -> pa.Array:
+        """Bytes of each id sequence, given as all ids and the number of ids of each; unknown ids raise."""
+        if len(flat) and not np.isin(flat, self.known).all():
             raise ValueError("ids hold a token that the vocabulary lacks")
-        got = self._run(_DECODE)
-        out = [b""] * len(ids)
-        for w, b in zip(got["w"].to_pylist(), got["b"].to_pylist(), strict=True):
-            out[w] = b
-        return out
+        p = (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        self._table("ids", pa.table({"w": np.repeat(np.arange(len(n), dtype=np.int32), n), "p": p, "t": flat.astype(np.int32)}))
+        got = self._run(_DECODE)["b"].combine_chunks()
+        full = n > 0
+        at = np.cumsum(full) - 1
+        return pc.fill_null(got.take(pa.array(at, mask=~full)), b"")
+
+
+class Memo:
+    """Pieces met before: slots into one array of ids and one list of decoded bytes; emptied when full."""
+
+    def __init__(self):
+        self.slot: dict[str, int] = {}
+        self.flat, self.n, self.decoded = np.zeros(0, np.int32), np.zeros(0, np.int64), pa.array([], pa.binary())
+
+    def slots(self, codec: Codec, words: list[str]) -> np.ndarray:
+        if len(self.slot) > MEMO:
+            self.__init__()
+        fresh = [w for w in words if w not in self.slot]
+        if fresh:
+            flat, n = codec.encode([w.encode() for w in fresh])
+            self.decoded = pa.concat_arrays([self.decoded, codec.decode(flat, n)])
+            self.slot.update(zip(fresh, range(len(self.slot), len(self.slot) + len(fresh)), strict=True))
+            self.flat, self.n = np.concatenate([self.flat, flat]), np.concatenate([self.n, n])
+        return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
 
 
-_codecs: dict[int, tuple[Codec, dict]] = {}
+_codecs: dict[int, tuple[Codec, Memo]] = {}
 
 
-def _codec(data: bytes) -> tuple[Codec, dict]:
+def _codec(data: bytes) -> tuple[Codec, Memo]:
     """One codec and memo for each rank table and worker process; they outlive a task."""
     if (key := hash(data)) not in _codecs:
         _codecs.clear()
-        _codecs[key] = (Codec(read_ranks(data)), {})
+        _codecs[key] = (Codec(read_ranks(data)), Memo())
     return _codecs[key]
 
 
@@ -208,26 +231,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                     pieces += found
             words = pa.array(pieces, pa.string()).dictionary_encode()
             del pieces
-            index, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
-            fresh = [w for w in distinct if w not in memo]
-            got = {}
-            if fresh:
-                ids = codec.encode([w.encode() for w in fresh])
-                got = dict(zip(fresh, zip(ids, codec.decode(ids), strict=True), strict=True))
-            each = [got[w] if w in got else memo[w] for w in distinct]
-            if len(memo) + len(got) > MEMO:
-                memo.clear()
-            if len(got) <= MEMO:
-                memo.update(got)
-            n = np.array([len(x[0]) for x in each], np.int64)
-            flat = np.concatenate([x[0] for x in each]) if each else np.zeros(0, np.int32)
-            start, long = (np.cumsum(n) - n)[index], n[index]
+            at = memo.slots(codec, words.dictionary.to_pylist())[words.indices.to_numpy()]
+            starts, long = np.cumsum(memo.n) - memo.n, memo.n[at]
             end = np.cumsum(long)
-            tokens = flat[np.repeat(start - (end - long), long) + np.arange(int(long.sum()))]
+            tokens = memo.flat[np.repeat(starts[at] - (end - long), long) + np.arange(int(long.sum()))]
             rows = np.concatenate([[0], np.cumsum(counts)])
             total = np.concatenate([[0], end])[rows]
-            decoded = pa.array([x[1] for x in each], pa.binary()).take(pa.array(index))
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(rows, pa.int32()), decoded), b"")
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(rows, pa.int32()), memo.decoded.take(pa.array(at))), b"")
             return {id_col: keys[0], "ids": pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(tokens, pa.int32())), "decoded": joined}
 
         return run
@@ -245,10 +255,9 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str
         codec, _ = _codec(shared.value)
         for b in batches:
             lists = b.column(1).to_pylist()
-            some = [i for i, x in enumerate(lists) if x is not None]
-            out: list = [None] * len(lists)
-            for i, x in zip(some, codec.decode([np.array(lists[i], np.int32) for i in some]), strict=True):
-                out[i] = x
+            ids = [np.array(x or [], np.int32) for x in lists]
+            got = codec.decode(np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array([len(x) for x in ids], np.int64))
+            out = [None if x is None else v for x, v in zip(lists, got.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=[id_col, "decoded"])
 
     return df.select(F.col(id_col), F.col(ids_col).cast("array<int>")).mapInArrow(run, f"`{id_col}` {kind}, decoded binary")

@@ -28,7 +28,7 @@ def test_matches_the_library_and_decodes(docs, texts, library):
 def test_decode_alone_and_empty(spark, docs, library):
     ids = library.encode_ordinary("round trip, ça va")
     df = spark.createDataFrame([(1, ids), (2, []), (3, None)], "doc_id long, ids array<int>")
-    assert {r.doc_id: r.decoded and bytes(r.decoded).decode() for r in bpe.decode(df, RANKS).collect()} == {1: "round trip, ça va", 2: b"", 3: None} | {2: bytearray()}
+    assert {r.doc_id: r.decoded and bytes(r.decoded).decode() for r in bpe.decode(df, RANKS).collect()} == {1: "round trip, ça va", 2: b"", 3: None}
     assert bpe.encode(docs([]), RANKS, P.PATTERN).count() == 0
 
 
