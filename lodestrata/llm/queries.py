@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join
+from . import bpe, langid, license_scan, ngram_join, packing, pii, quality, secrets, url_rules, vector_join
 from .common import bounded_batches
 
 
@@ -15,9 +15,16 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _digest(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _of(spans: str, *kinds: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    got = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = bpe.encode(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return got.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -30,5 +37,78 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_docs(spark, sf_dir))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_ngram_jaccard": op2_ngram_jaccard}
+def _spans(got: DataFrame, base: tuple[str, ...]) -> DataFrame:
+    counts = [F.size(_of("spans", k)).cast("long").alias(f"n_{k}") for k in base]
+    return got.select("doc_id", *counts, F.sha2(_digest(_of("spans", *base)), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(secrets.scan(_docs(spark, sf_dir), secrets.infer(secrets.labelled_credentials())), secrets.BASE)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    held = langid.held_out()
+    model = langid.train(docs.where(~held))
+    return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op5_vector_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    got = license_scan.scan(docs, license_scan.document_frequency(docs))
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    return got.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.word").alias("first_word"),
+        F.array_max("places.word").alias("last_word"),
+        joined(F.col("places.label")).alias("base_labels"),
+        joined(F.concat("places.label", "blocks.label")).alias("labels"),
+        F.coalesce(F.array_max("blocks.containment"), F.lit(0.0)).alias("score"),
+    )
+
+
+def op7_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(pii.scan(_docs(spark, sf_dir)), pii.BASE)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    got = quality.assess(docs, quality.references(docs))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "js_class", "js_common")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(_docs(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_language_id": op4_language_id,
+    "op5_vector_near_dup": op5_vector_near_dup,
+    "op6_license_scan": op6_license_scan,
+    "op7_pii_scan": op7_pii_scan,
+    "op8_url_filter": op8_url_filter,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_best_fit_packing": op10_best_fit_packing,
+    "pipeline": pipeline,
+}
 ORACLES: dict[str, str] = {}
