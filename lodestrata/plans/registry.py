@@ -1,6 +1,42 @@
-"""All queries of the package and their SQL, by name."""
+"""All queries of the package and their SQL, by name.
+
+A query is a function of ``Tables``; ``@query(sql=...)`` registers it with the SQL that gives the
+same rows on the same tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of one folder as attributes; each is read when it is asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def register(fn: Callable[[Tables], DataFrame]):
+        name = fn.__name__
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return register
+
+
+from . import audit, graph, olap, retrieval, streams, texts  # noqa: E402, F401
