@@ -1 +1,189 @@
-"""Queries."""
+"""Graph queries. Entities are parts, chunks are orders, domains are brands; edges join parts of one order."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import graph as g
+from ..operators import relational as rel
+from .registry import Tables, query
+
+MENTIONS = "(SELECT DISTINCT l_orderkey AS chunk, l_partkey AS entity, l_discount AS conf FROM lineitem WHERE l_partkey < 400)"
+EDGES = f"(SELECT a.entity AS u, b.entity AS v, count(DISTINCT a.chunk) AS w FROM {MENTIONS} a JOIN {MENTIONS} b ON a.chunk = b.chunk AND a.entity < b.entity GROUP BY ALL)"
+BOTH = f"(SELECT u AS src, v AS dst, w FROM {EDGES} UNION ALL SELECT v, u, w FROM {EDGES})"
+PROFILE = "(SELECT p_partkey AS node, p_brand AS domain FROM part)"
+
+
+def mentions(t: Tables):
+    """The graph's scope is the entities below 400, a corpus of its own."""
+    return t.lineitem.where("l_partkey < 400").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity"), F.col("l_discount").alias("conf")).distinct()
+
+
+def edges(t: Tables):
+    return g.cooccurrence(mentions(t), "chunk", "entity", 1)
+
+
+def profile(t: Tables):
+    return t.part.select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("domain"))
+
+
+def seeds(t: Tables, most: int):
+    return t.part.where(F.col("p_partkey") < most).select(F.col("p_partkey").alias("node"))
+
+
+@query(sql=f"SELECT u, v, w FROM {EDGES}")
+def cooccurrence_edges(t):
+    return edges(t)
+
+
+@query(sql=f"SELECT src AS node, count(*) AS degree, sum(w)::BIGINT AS strength FROM {BOTH} GROUP BY src")
+def node_degrees(t):
+    return g.degrees(edges(t))
+
+
+@query(sql=f"SELECT round(2 * sum(i * d) / (count(*) * sum(d)) - (count(*) + 1) / count(*), 6) AS gini FROM (SELECT d, row_number() OVER (ORDER BY d) AS i FROM (SELECT count(*) AS d FROM {BOTH} GROUP BY src))")
+def degree_gini(t):
+    return rel.gini(g.degrees(edges(t)), "degree")
+
+
+@query(sql=f"""WITH RECURSIVE b AS MATERIALIZED (SELECT src, dst FROM {BOTH}), h1 AS (SELECT dst AS node, count(*) AS hits FROM b WHERE src < 3 AND dst >= 3 GROUP BY dst),
+h2 AS (SELECT dst AS node, count(*) AS hits FROM b JOIN h1 ON src = node WHERE dst >= 3 AND dst NOT IN (SELECT node FROM h1) GROUP BY dst)
+SELECT p_partkey AS node, 0::BIGINT AS hop, 0::BIGINT AS hits FROM part WHERE p_partkey < 3 UNION ALL SELECT node, 1, hits FROM h1 UNION ALL SELECT node, 2, hits FROM h2""")
+def hop_expand(t):
+    return g.expand(edges(t), seeds(t, 3), 2)
+
+
+@query(sql=f"SELECT a.p_partkey AS u, b.p_partkey AS v FROM part a JOIN part b ON a.p_partkey < b.p_partkey WHERE b.p_partkey < 30 AND NOT EXISTS (SELECT 1 FROM {EDGES} e WHERE e.u = a.p_partkey AND e.v = b.p_partkey)")
+def missing_edges(t):
+    return g.missing_edges(seeds(t, 30), edges(t))
+
+
+@query(sql=f"SELECT u, v, w FROM {EDGES} WHERE u < 50 AND v < 50")
+def induced_edges(t):
+    return g.induced(edges(t), seeds(t, 50))
+
+
+@query(sql=f"SELECT dst AS node, count(DISTINCT src) AS seeds FROM {BOTH} WHERE src < 20 AND dst >= 20 GROUP BY dst HAVING count(DISTINCT src) >= 2")
+def shared_neighbors(t):
+    return g.shared_neighbors(edges(t), seeds(t, 20))
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = ", ".join(f"r{i} AS MATERIALIZED (SELECT dst AS node, sum(rank * p) * 0.85 + 0.15 / (SELECT count(*) FROM nodes) AS rank FROM step JOIN r{i - 1} ON src = node GROUP BY dst)" for i in range(1, rounds + 1))
+    return f"""WITH b AS MATERIALIZED (SELECT * FROM {BOTH}), step AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM b), nodes AS MATERIALIZED (SELECT DISTINCT src AS node FROM b),
+r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes), {steps}"""
+
+
+@query(sql=_pagerank_sql(10) + " SELECT node, round(rank, 9) AS rank FROM r10")
+def pagerank_10(t):
+    return g.pagerank(edges(t), 10)
+
+
+@query(sql=_pagerank_sql(10) + " SELECT node, round(rank, 6) AS rank, place FROM (SELECT node, round(rank, 9) AS rank, row_number() OVER (ORDER BY round(rank, 9) DESC, node) AS place FROM r10) WHERE place <= 15")
+def hubs(t):
+    return g.hubs(g.pagerank(edges(t), 10), 15).withColumn("rank", F.round("rank", 6))
+
+
+@query(sql=f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {BOTH} WHERE w >= 1 AND (src + dst) % 97 = 0), reach(node, c) AS (SELECT src, src FROM e UNION SELECT e.dst, reach.c FROM reach JOIN e ON e.src = reach.node)
+SELECT node, min(c) AS component FROM reach GROUP BY node""")
+def connected_components(t):
+    return g.components(edges(t).where("(u + v) % 97 = 0"))
+
+
+@query()
+def communities(t):
+    """Label propagation; checked in tests for determinism and for agreement within components."""
+    return g.label_propagation(edges(t), 4)
+
+
+@query()
+def bridge_edges(t):
+    e = edges(t).where("(u + v) % 97 = 0")
+    return g.bridges(e, g.components(e))
+
+
+@query(sql=f"""WITH c AS (SELECT entity AS node, o_custkey % 8 AS domain, count(*) AS n FROM {MENTIONS} m JOIN orders ON o_orderkey = chunk GROUP BY ALL)
+SELECT node, arg_min(domain, (-n, domain)) AS domain, count(*) AS n_domains, sum(n)::BIGINT AS mentions FROM c GROUP BY node""")
+def primary_domain(t):
+    m = mentions(t).join(t.orders, F.col("o_orderkey") == F.col("chunk")).select(F.col("entity").alias("node"), (F.col("o_custkey") % 8).alias("domain"))
+    return g.domain_profile(m, "node", "domain")
+
+
+@query(sql=f"""WITH e AS (SELECT pu.domain AS du, pv.domain AS dv FROM {EDGES} e JOIN {PROFILE} pu ON pu.node = u JOIN {PROFILE} pv ON pv.node = v),
+s AS (SELECT du AS domain, du = dv AS inside FROM e UNION ALL SELECT dv, false FROM e WHERE du <> dv), c AS (SELECT domain, count_if(inside) AS internal, count_if(NOT inside) AS external FROM s GROUP BY domain)
+SELECT domain, nodes, coalesce(internal, 0) AS internal, coalesce(external, 0) AS external, round(CASE WHEN nodes > 1 THEN 2 * coalesce(internal, 0) / (nodes * (nodes - 1)) ELSE 0 END, 5) AS density FROM (SELECT domain, count(*) AS nodes FROM {PROFILE} GROUP BY domain) LEFT JOIN c USING (domain)""")
+def domain_density(t):
+    return g.domain_edges(edges(t), profile(t), "node")
+
+
+@query(sql=f"""WITH n AS (SELECT src AS node, domain FROM {BOTH} JOIN {PROFILE} ON node = dst UNION ALL SELECT node, domain FROM {PROFILE})
+SELECT node, degree, touched FROM (SELECT src AS node, count(*) AS degree FROM {BOTH} GROUP BY src) JOIN (SELECT node, count(DISTINCT domain) AS touched FROM n GROUP BY node) USING (node) WHERE degree <= 5 AND touched >= 2""")
+def frontier_nodes(t):
+    return g.frontier(edges(t), profile(t), "node")
+
+
+@query(sql=f"""WITH e AS (SELECT * FROM {BOTH} WHERE (src + dst) % 41 = 0), p AS (SELECT DISTINCT src, least(a.domain, b.domain) AS a, greatest(a.domain, b.domain) AS b FROM e JOIN {PROFILE} a ON a.node = src JOIN {PROFILE} b ON b.node = dst WHERE a.domain <> b.domain),
+c AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL), d AS (SELECT DISTINCT domain FROM {PROFILE})
+SELECT x.domain AS a, y.domain AS b, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'DISCONNECTED' ELSE 'THIN' END AS gap FROM d x JOIN d y ON x.domain < y.domain LEFT JOIN c ON c.a = x.domain AND c.b = y.domain WHERE coalesce(n, 0) < 3""")
+def cluster_gaps(t):
+    return g.cluster_gaps(edges(t).where("(u + v) % 41 = 0"), profile(t).withColumnRenamed("domain", "c"))
+
+
+@query(sql=f"SELECT least(u, v) AS u, greatest(u, v) AS v, sum(w)::BIGINT AS w FROM (SELECT CASE WHEN u % 10 = 7 THEN u - 7 ELSE u END AS u, CASE WHEN v % 10 = 7 THEN v - 7 ELSE v END AS v, w FROM {EDGES}) WHERE u <> v GROUP BY ALL")
+def entity_merge(t):
+    """Every tenth entity is merged into the first of its ten; its edges move and fold."""
+    s = t.part.where("p_partkey % 10 = 7").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") - 7).alias("survivor"))
+    return g.redirect(edges(t), s)
+
+
+@query(sql="""WITH RECURSIVE s AS (SELECT p_partkey AS node, p_partkey // 2 AS survivor FROM part WHERE p_partkey > 0 AND p_partkey % 3 > 0), r AS (SELECT node, survivor, 1 AS d FROM s UNION ALL SELECT r.node, s.survivor, d + 1 FROM r JOIN s ON s.node = r.survivor WHERE d < 3)
+SELECT node, arg_max(survivor, d) AS survivor FROM r GROUP BY node""")
+def tombstones(t):
+    s = t.part.where("p_partkey > 0 and p_partkey % 3 > 0").select(F.col("p_partkey").alias("node"), F.floor(F.col("p_partkey") / 2).alias("survivor"))
+    return g.follow_tombstones(s, 3)
+
+
+@query(sql=f"""SELECT chunk, round(sum(cs * coalesce(conf, 0.5)), 6) AS score, count(DISTINCT entity) AS shared FROM {MENTIONS} m JOIN (SELECT entity, sum(coalesce(conf, 0.5)) AS cs FROM {MENTIONS} WHERE chunk < 20 GROUP BY entity) s USING (entity)
+WHERE chunk >= 20 GROUP BY chunk ORDER BY score DESC, chunk LIMIT 25""")
+def co_mention_chunks(t):
+    seeds_ = t.orders.where("o_orderkey < 20").select(F.col("o_orderkey").alias("chunk"))
+    return g.co_mentions(mentions(t), seeds_, "chunk", "entity", "conf", 25)
+
+
+@query()
+def analogies(t):
+    return g.similar_topology(edges(t), profile(t), "node", 0.97, 120)
+
+
+@query(sql=f"SELECT node, round((ln(1 + strength) + 50 * 0.001) / (1 + 0.22 * degree), 6) AS latent FROM (SELECT src AS node, count(*) AS degree, sum(w) AS strength FROM {BOTH} GROUP BY src)")
+def latent_topics(t):
+    """Much mentioned, little connected."""
+    d = g.degrees(edges(t))
+    return d.select("node", F.round((F.log1p("strength") + 50 * 0.001) / (1 + 0.22 * F.col("degree")), 6).alias("latent"))
+
+
+@query(sql=f"""SELECT u, v, round((conf + CASE WHEN w > 1 THEN 0.2 ELSE 0 END + CASE p_type WHEN 'ECONOMY' THEN 0.2 WHEN 'SMALL' THEN 0.14 ELSE 0 END + 0.12 + CASE WHEN w > 1 THEN 0.08 ELSE 0 END), 6) AS edge_rank FROM (SELECT u, v, w, least(1.0, 0.15 * w + 0.1) AS conf FROM {EDGES}) JOIN part ON p_partkey = u WHERE conf >= 0.2""")
+def edge_ranks(t):
+    e = edges(t).withColumn("conf", F.least(F.lit(1.0), 0.15 * F.col("w") + 0.1)).join(t.part, F.col("u") == F.col("p_partkey"))
+    strength = F.when(F.col("p_type") == "ECONOMY", "strong").when(F.col("p_type") == "SMALL", "repaired")
+    e = e.where(g.edge_policy(F.col("conf"), F.lit("supplies"), strength, F.col("w") - 1))
+    return e.select("u", "v", F.round(g.edge_rank(F.col("conf"), F.col("w") > 1, strength, F.lit("supplies"), F.col("w") - 1, F.lit(False)), 6).alias("edge_rank"))
+
+
+@query(sql="SELECT key, count(*) AS n, min(p_partkey) AS survivor FROM (SELECT p_partkey, regexp_replace(lower(p_name), '[\\s_\\-]+', '', 'g') AS key FROM part) WHERE length(key) >= 3 GROUP BY key HAVING count(*) > 1")
+def squash_groups(t):
+    """Entities whose names are equal without separators."""
+    k = t.part.select("p_partkey", text.squash("p_name").alias("key")).where(F.length("key") >= 3)
+    return k.groupBy("key").agg(F.count("*").alias("n"), F.min("p_partkey").alias("survivor")).where("n > 1")
+
+
+@query(sql="SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount > 0.08)")
+def orphan_entities(t):
+    return t.part.join(t.lineitem.where("l_discount > 0.08"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+
+
+@query(sql=f"SELECT entity, brand_rank, p_name FROM (SELECT p_partkey AS entity, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_partkey) AS brand_rank FROM part JOIN (SELECT entity, count(*) AS n FROM {MENTIONS} GROUP BY entity) ON entity = p_partkey) WHERE brand_rank <= 5")
+def top_entities_per_cluster(t):
+    n = mentions(t).groupBy("entity").agg(F.count("*").alias("n")).join(t.part, F.col("entity") == F.col("p_partkey"))
+    return rel.top_per_key(n, ["p_brand"], [F.desc("n"), "entity"], 5, "brand_rank").select("entity", "brand_rank", "p_name")
