@@ -195,7 +195,7 @@ def xlsx(data: bytes) -> Iterator[tuple]:
 def code(text: str) -> Iterator[tuple]:
     """Top-level definitions, each with what stands before it; symbols are the heading path."""
     start, name = 0, []
-    for m in re.finditer(r"(?m)^(?:async\s+)?(?:def|class|function|local function)\s+([A-Za-z_][\w.:]*)", text):
+    for m in re.finditer(r"(?m)^(?:async\s+)?(?:def|class|function|local function)\s+([A-Za-z_][\w.]*(?::\w+)?)", text):
         if text[start : m.start()].strip():
             yield name, "code", text[start : m.start()].strip("\n"), None, None
         start, name = m.start(), [m[1]]
