@@ -39,4 +39,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import audit, documents, graph, olap, retrieval, streams, texts  # noqa: E402, F401
+from . import audit, documents, graph, knowledge, olap, retrieval, streams, texts  # noqa: E402, F401
