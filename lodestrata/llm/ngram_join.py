@@ -3,14 +3,20 @@
 Sets fall into bands of nearly equal size. Within a band, Jaccard >= g bounds the symmetric
 difference by k. The feature domain is hashed into n1 first-level parts of three second-level
 parts each; at most floor(k/2) first-level parts can hold two or more differences, so with
-n1 = floor(k/2) + 1 + SPARE parts at least 1 + SPARE of them differ in one second-level part or
+n1 = floor(k/2) + 1 + spare parts at least 1 + spare of them differ in one second-level part or
 none, and one of the three subsets of two second-level parts is equal there. Each such subset is
 a signature, so every pair above the threshold shares one: nothing is approximate.
 
 Empty subsets would give a signature that all sparse sets share. They are left out; a set in
-which more than SPARE first-level parts have an empty subset emits a further partitioning with
+which more than ``spare`` first-level parts have an empty subset emits a further partitioning with
 another seed, and under the last seed its empty signatures too. Two sets lose their shared
 signature to emptiness only if both go on to the next seed, where they meet again.
+
+Passages that many documents share would fill whole parts of dissimilar sets alike. Under the
+first seed, features that occur in many sets are left out: the difference of what is left is no
+larger, so the same k holds, whichever features are left out. Sets that thin out too much by
+that are sparse, and go on to seeds over all features. Which features are frequent therefore
+changes the work and never the result; they are kept in a Bloom filter of fixed size.
 """
 
 from __future__ import annotations
@@ -19,15 +25,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import SPACES, ascii_lower, components, cut, map_texts, words_of  # noqa: F401
+from .common import ascii_lower, components, cut, map_texts, slices, words_of
+
+def spare(k: int) -> int:
+    """First-level parts beyond those needed: about as many of a set's parts may be sparse."""
+    return 1 + k // 24
+
 
-SPARE = 1
-SEEDS = 3
+SEEDS = 4
+#: A feature is frequent from this many sets; a task's share counts from LOCAL of its sets.
+FREQUENT = 24
+LOCAL = 3
 #: Longs of the parity sketch: each feature flips one of 64 * SKETCH bits, so sketches of two sets
 #: differ in no more bits than the sets differ in features.
-SKETCH = 8
+SKETCH = 32
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,7 +79,7 @@ def _parts(h: np.ndarray, band: int, k: int, seed: int) -> tuple[np.ndarray, np.
     x = _mix(h ^ tag)
     if k == 0:
         return _mix(x.sum(dtype=np.uint64, keepdims=True)), x[:0], 0
-    n1 = k // 2 + 1 + SPARE
+    n1 = k // 2 + 1 + spare(k)
     cell = (x >> np.uint64(33)).astype(np.int64) % (n1 * 3)
     order = np.argsort(cell)
     count = np.bincount(cell, minlength=n1 * 3)
@@ -81,17 +93,20 @@ def _parts(h: np.ndarray, band: int, k: int, seed: int) -> tuple[np.ndarray, np.
     return sig[some], sig[~some], int((~some).any(1).sum())
 
 
-def signatures(h: np.ndarray, percent: int, table: list[tuple[int, int]]) -> np.ndarray:
-    """The PartEnum signatures of one set, for its own band and the next."""
+def signatures(h: np.ndarray, percent: int, table: list[tuple[int, int]], rare: np.ndarray | None = None) -> np.ndarray:
+    """The PartEnum signatures of one set, for its own band and the next; ``rare`` marks its infrequent features."""
     if not len(h):
         return np.zeros(0, np.uint64)
     own, out = int(np.searchsorted([r for _, r in table], len(h))), []
     for band in (own, own + 1):
         k = 2 * (100 - percent) * table[band][1] // (100 + percent)
         for seed in range(SEEDS):
-            sig, empty, sparse = _parts(h, band, k, seed)
+            part = h[rare] if seed == 0 and k and rare is not None else h
+            if not len(part):
+                continue
+            sig, empty, sparse = _parts(part, band, k, seed)
             out.append(sig)
-            if sparse <= SPARE:
+            if sparse <= spare(k):
                 break
         else:
             out.append(empty)
@@ -109,26 +124,96 @@ def _node(h: np.ndarray) -> int:
     return int(_mix(_mix(h + np.uint64(3)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h))).view(np.int64)[0])
 
 
-def _sets(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def _scan(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """Two kinds of rows from one pass: (id, n, node, sketch) for each text, and (h, times) for
+    each feature that a task's share of distinct sets holds LOCAL times or more."""
+    picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text"))
+
+    def scan(batches):
+        seen, wait, size = set(), [], 0
+        empty = lambda kind, k: pa.nulls(k, kind)
+        kinds = {"n": pa.int64(), "node": pa.int64(), "sketch": pa.list_(pa.int64()), "h": pa.int64(), "times": pa.int64()}
+        id_kind = None
+
+        def rows(k, **cols):
+            return pa.RecordBatch.from_arrays([cols.get("id", empty(id_kind, k))] + [cols[c] if c in cols else empty(kinds[c], k) for c in kinds], names=["id", *kinds])
+
+        def flush():
+            nonlocal wait, size
+            feature, times = np.unique(np.concatenate(wait), return_counts=True)
+            wait, size = [], 0
+            some = times >= LOCAL
+            return rows(int(some.sum()), h=pa.array(feature[some].view(np.int64)), times=pa.array(times[some], pa.int64()))
+
+        for b in batches:
+            id_kind = b.schema.field("id").type
+            for part, texts in slices(b, "_text"):
+                sets = [shingles(t, n) for t in texts]
+                names = [_node(h) if len(h) else None for h in sets]
+                sketch = [_sketch(h) if len(h) else None for h in sets]
+                yield rows(len(texts), id=part.column(0), n=pa.array([len(h) for h in sets], pa.int64()), node=pa.array(names, pa.int64()), sketch=pa.array(sketch, kinds["sketch"]))
+                for name, h in zip(names, sets, strict=True):
+                    if name is None or name in seen:
+                        continue
+                    if len(seen) >= 200_000:
+                        seen.clear()
+                    seen.add(name)
+                    wait.append(h)
+                    size += len(h)
+                if size >= 4_000_000:
+                    yield flush()
+        if wait:
+            yield flush()
+
     kind = df.schema[id_col].dataType.simpleString()
+    return picked.mapInArrow(scan, f"id {kind}, n long, node long, sketch array<long>, h long, times long")
 
-    def make():
-        def run(keys, texts):
-            sets = [shingles(t, n) for t in texts]
-            return {
-                "id": keys[0],
-                "n": [len(h) for h in sets],
-                "node": [_node(h) if len(h) else None for h in sets],
-                "sketch": [_sketch(h) if len(h) else None for h in sets],
-            }
 
-        return run
+def _packed(sig: np.ndarray, node: np.ndarray, n_buckets: int) -> tuple[list[int], list[bytes]]:
+    """Signatures of some sets by bucket, each bucket as one block: nodes, signatures of each, low halves."""
+    bucket = ((sig >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, low, node = bucket[order], sig[order].astype(np.uint32), node[order]
+    ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
+    names, blocks, at = [], [], 0
+    for end in ends.tolist():
+        first = np.flatnonzero(np.concatenate([[True], node[at + 1 : end] != node[at : end - 1]])) + at
+        counts = np.diff(np.append(first, end)).astype(np.uint32)
+        names.append(int(bucket[at]))
+        blocks.append(np.uint32(len(first)).tobytes() + node[first].tobytes() + counts.tobytes() + low[at:end].tobytes())
+        at = end
+    return names, blocks
+
+
+def _unpacked(bucket: int, block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = int(np.frombuffer(block, np.uint32, 1)[0])
+    nodes, counts = np.frombuffer(block, np.int64, m, 4), np.frombuffer(block, np.uint32, m, 4 + 8 * m)
+    low = np.frombuffer(block, np.uint32, -1, 4 + 12 * m)
+    return low.astype(np.int64) + (bucket << 32), np.repeat(nodes, counts)
+
+
+#: Signatures of one bucket on average, and of one step of the search for shared ones.
+BUCKET = 1_000_000
+STEP = 500_000
+
 
-    return map_texts(df, [F.col(id_col)], text_col, make, f"id {kind}, n long, node long, sketch array<long>")
+def _hits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether a Bloom filter holds each of some 64-bit hashes."""
+    mask, there = len(bits) * 64 - 1, np.ones(len(h), bool)
+    for x in (h, (h.view(np.uint64) >> np.uint64(20)).view(np.int64)):
+        x = x & mask
+        there &= (bits[x >> 6].view(np.uint64) >> (x & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return there
 
 
-def _signature_rows(df: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
-    """(sig, node): one row for each signature of each set that this task has not met before."""
+def _shared(df: DataFrame, text_col: str, n: int, percent: int, n_buckets: int, frequent: np.ndarray) -> DataFrame:
+    """(sig, node, hub) for each set that shares a signature with another; hub is one set of that signature.
+
+    Signatures are shuffled as blocks of 4 bytes a signature beside its set's name. A bucket's
+    blocks are read in a stream against a table of the signatures met so far, so memory follows
+    the distinct signatures of a bucket, which n_buckets bounds, and not how many sets share one.
+    """
+    often = df.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
         seen: set[int] = set()
@@ -140,22 +225,55 @@ def _signature_rows(df: DataFrame, text_col: str, n: int, percent: int) -> DataF
                 h = shingles(t, n)
                 if not len(h) or (name := _node(h)) in seen:
                     continue
-                if len(seen) >= 200_000:  # copies that slip through meet in the shuffle
+                if len(seen) >= 200_000:  # copies that slip through meet in their bucket
                     seen.clear()
                 seen.add(name)
-                s = signatures(h, percent, table)
+                s = signatures(h, percent, table, ~_hits(often.value, h.view(np.int64)))
                 sig.append(s)
                 node.append(np.full(len(s), name, np.int64))
-            return {"sig": pa.array(np.concatenate(sig).view(np.int64) if sig else [], pa.int64()), "node": pa.array(np.concatenate(node) if node else [], pa.int64())}
+            names, blocks = _packed(np.concatenate(sig), np.concatenate(node), n_buckets) if sig else ([], [])
+            return {"bucket": names, "block": blocks}
 
         return run
 
-    return map_texts(df, [], text_col, make, "sig long, node long")
-
-
-def _bloom(values: DataFrame, col: str, log2_bits: int) -> np.ndarray:
+    def meet(batches):
+        known, hub = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        wait, size = [], 0
+
+        def step():
+            nonlocal known, hub, wait, size
+            key, node = (np.concatenate(x) for x in zip(*wait, strict=True))
+            wait, size = [], 0
+            order = np.argsort(key, kind="stable")
+            key, node = key[order], node[order]
+            at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+            old = known[at] == key if len(known) else np.zeros(len(key), bool)
+            first = np.concatenate([[True], key[1:] != key[:-1]]) & ~old
+            whose = np.where(old, hub[at] if len(hub) else 0, 0)
+            run = np.cumsum(first) - 1
+            new_key, new_hub = key[first], node[first]
+            whose = np.where(old, whose, new_hub[np.maximum(run, 0)] if len(new_hub) else 0)
+            out = node != whose
+            known, hub = np.concatenate([known, new_key]), np.concatenate([hub, new_hub])
+            order = np.argsort(known, kind="stable")
+            known, hub = known[order], hub[order]
+            return pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out]), pa.array(whose[out])], names=["sig", "node", "hub"])
+
+        for b in batches:
+            for bucket, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                wait.append(_unpacked(bucket, block))
+                size += len(wait[-1][0])
+                if size >= STEP:
+                    yield step()
+        if wait:
+            yield step()
+
+    blocks = map_texts(df, [], text_col, make, "bucket long, block binary")
+    return blocks.repartition(n_buckets, "bucket").mapInArrow(meet, "sig long, node long, hub long").distinct()
+
+
+def _bloom(values: DataFrame, h, log2_bits: int) -> np.ndarray:
     """A bit set of fixed size, filled by a distributed OR; it holds 2^(log2_bits - 6) longs at most."""
-    h = F.xxhash64(col)
     two = F.explode(F.array(h, F.shiftrightunsigned(h, 20)))
     bits = values.select(two.alias("h")).select(F.expr(f"h & {(1 << log2_bits) - 1}").alias("h"))
     rows = bits.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
@@ -168,23 +286,23 @@ def _bloom(values: DataFrame, col: str, log2_bits: int) -> np.ndarray:
 def _features(df: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame, log2_bits: int) -> DataFrame:
     """(node, h): the feature hashes of the sets named in ``wanted`` (node, rep).
 
-    Only the text of one document for each such set is shingled. A Bloom filter of fixed size on
-    the documents' ids drops most others before the join, which drops the rest.
+    Only the text of one document for each such set is shingled. Up to MOST_BROADCAST of their ids
+    are broadcast to the scan; beyond that a Bloom filter of fixed size on the ids drops most
+    other documents, and the join the rest.
     """
-    shared = df.sparkSession.sparkContext.broadcast(_bloom(wanted, "rep", log2_bits))
-    mask = (1 << log2_bits) - 1
+    few = wanted.count() <= MOST_BROADCAST
+    bits = None
+    if few:
+        df = df.join(F.broadcast(wanted.select(F.col("rep").alias("_rep"))), F.col(id_col) == F.col("_rep"), "left_semi")
+    else:
+        bits = df.sparkSession.sparkContext.broadcast(_bloom(wanted, F.xxhash64("rep"), log2_bits))
 
     def make():
-        bits = shared.value
-
         def run(keys, texts):
             h = keys[0].to_numpy(zero_copy_only=False).astype(np.int64)
-            there = np.ones(len(h), bool)
-            for x in (h, (h.view(np.uint64) >> np.uint64(20)).view(np.int64)):
-                x = x & mask
-                there &= (bits[x >> 6].view(np.uint64) >> (x & 63).astype(np.uint64)) & np.uint64(1) == 1
+            there = np.arange(len(h)) if few else np.flatnonzero(_hits(bits.value, h))
             node, feats = [], []
-            for i in np.flatnonzero(there):
+            for i in there:
                 s = shingles(texts[i], n)
                 if len(s):
                     node.append(_node(s))
@@ -197,6 +315,10 @@ def _features(df: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFra
     return rows.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
+#: Ids that are broadcast at most (8 MB).
+MOST_BROADCAST = 1_000_000
+
+
 def _bits(a: str, b: str):
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, SKETCH)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
@@ -207,11 +329,77 @@ def _may_link(percent: int):
     return (small * 100 >= large * percent) & (_bits("sa", "sb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
 
-def _verified(pairs: DataFrame, feats: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those with 100 * |intersection| >= percent * |union|."""
+#: Members of one signature that one task compares with as many others.
+CHUNK = 1024
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of (sig, size, node, c, n, sketch) rows with equal sig, unlike c, and bounds that a link meets.
+
+    A signature of many members is dealt out by pairs of chunks, so a task holds two chunks at
+    most; bounds are evaluated on arrays of pairs.
+    """
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    rows = members.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    rows = rows.select("sig", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "node", "c", "n", "sketch")
+
+    def pairs(t):
+        sig, i, j, own, node, c, n = (t[x] for x in ("sig", "i", "j", "own", "node", "c", "n"))
+        start = np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        run = np.cumsum(start) - 1
+        ends = np.append(np.flatnonzero(start)[1:], len(sig))[run]
+        later = ends - np.arange(len(sig)) - 1
+        step = max(1, 2_000_000 // max(1, int(later.max(initial=1))))
+        for at in range(0, len(sig), step):
+            k = later[at : at + step]
+            a = np.repeat(np.arange(at, at + len(k)), k)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+            lo, hi = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+            good = (c[a] != c[b]) & (lo * 100 >= hi * percent) & ((i[a] == j[a]) | (own[a] != own[b]))
+            a, b = a[good], b[good]
+            for p in range(0, len(a), 50_000):
+                x, y = a[p : p + 50_000], b[p : p + 50_000]
+                differ = np.bitwise_count(t["sketch"][x] ^ t["sketch"][y]).sum(1, dtype=np.int64)
+                near = differ * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+                u, v = node[x[near]], node[y[near]]
+                if len(u):
+                    yield np.stack([np.minimum(u, v), np.maximum(u, v)], 1)
+
+    def meet(batches):
+        held = None
+
+        def out(t):
+            got = list(pairs(t))
+            if got:
+                u = np.unique(np.concatenate(got), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(u[:, 0].copy()), pa.array(u[:, 1].copy())], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = {x: b.column(k).to_numpy() for k, x in enumerate(("sig", "i", "j", "own", "node", "c", "n"))}
+            t["sketch"] = b.column(7).flatten().to_numpy().view(np.uint64).reshape(b.num_rows, -1)
+            if held:
+                t = {x: np.concatenate([held[x], t[x]]) for x in t}
+            last = (t["sig"] == t["sig"][-1]) & (t["i"] == t["i"][-1]) & (t["j"] == t["j"][-1])
+            cut_at = int(np.argmax(last))
+            yield from out({x: v[:cut_at] for x, v in t.items()}) if cut_at else ()
+            held = {x: v[cut_at:] for x, v in t.items()}
+        if held:
+            yield from out(held)
+
+    key = ["sig", "i", "j"]
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(meet, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, features, percent: int) -> DataFrame:
+    """Of pairs (a, b), those with 100 * |intersection| >= percent * |union|; ``features`` gives (node, h) of nodes."""
+    pairs = cut(pairs)
+    feats = cut(features(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     a, b = feats.select(F.col("node").alias("a"), F.col("h").alias("ha")), feats.select(F.col("node").alias("b"), F.col("h").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
-    return pairs.join(a, "a").join(b, "b").where(both * 100 >= (F.size("ha") + F.size("hb") - both) * percent).select("a", "b")
+    return cut(pairs.join(a, "a").join(b, "b").where(both * 100 >= (F.size("ha") + F.size("hb") - both) * percent).select("a", "b"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, log2_bits: int = 25) -> DataFrame:
@@ -223,32 +411,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     document. A null id keeps its row; its component is that of its set, if any document with an
     id is in it. An empty table gives no rows. Other columns are ignored.
 
-    Equal sets collapse to one node. Nodes that share a signature are compared with the smallest
-    node of that signature, not with each other. Links give components. Only signatures whose
-    nodes still are in several components are joined with themselves, between components, under
-    bounds on sizes and parity sketches, and verified exactly; so no link that could join two
-    components is missed, and no group is expanded into all its pairs.
+    Equal sets collapse to one node. Nodes that share a signature are compared with one hub of
+    that signature, not with each other. Links give components. Only signatures whose other
+    nodes still are in several components are joined with themselves (one signature for each set
+    of nodes), between components, under bounds on sizes and parity sketches, and verified
+    exactly; so no link that could join two components is missed, and no group is expanded
+    into all its pairs.
     """
-    docs = cut(_sets(df, id_col, text_col, n))
+    found = cut(_scan(df, id_col, text_col, n))
+    docs = found.where("times is null").select("id", "n", "node", "sketch")
+    often = found.where("times is not null").groupBy("h").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT)
     info = docs.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
-    first = F.first("node").over(Window.partitionBy("sig").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    shared = _signature_rows(df, text_col, n, percent).select("sig", "node", first.alias("hub")).where("node <> hub").distinct()
-    shared = cut(shared)
+    per_set = F.lit(12) + F.col("n") * (7 * (100 - percent) / (100 + percent))
+    total = docs.agg(F.sum(per_set)).first()[0] or 0
+    shared = cut(_shared(df, text_col, n, percent, max(1, round(total / BUCKET)), _bloom(often, F.col("h"), log2_bits)))
     side = lambda x: info.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     near = shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    near = cut(near.join(side("a"), "a").join(side("b"), "b").where(_may_link(percent)).select("a", "b"))
-    wanted = shared.select("node").union(shared.select("hub")).distinct().join(info.select("node", "rep"), "node")
-    feats = cut(_features(df, id_col, text_col, n, wanted, log2_bits))
-    links = cut(_verified(near, feats, percent))
+    near = near.join(side("a"), "a").join(side("b"), "b").where(_may_link(percent)).select("a", "b")
+    features = lambda nodes: _features(df, id_col, text_col, n, nodes.join(info.select("node", "rep"), "node"), log2_bits)
+    links = _verified(near, features, percent)
     label = components(links, "a", "b")
-    member = shared.union(shared.select("sig", F.col("hub"), "hub")).select("sig", "node").distinct()
-    member = member.join(label, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
-    split = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    open_ = cut(member.join(split, "sig").join(info.select("node", "n", "sketch"), "node"))
-    a = open_.select("sig", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = open_.select("sig", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    cross = a.join(b, (a["sig"] == b["sig"]) & (F.col("ca") < F.col("cb")) & _may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _verified(cross.join(near, ["a", "b"], "left_anti"), feats, percent)
+    member = shared.select("sig", "node").join(label, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
+    who = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"who{i}") for i in (1, 2)]
+    split = member.groupBy("sig").agg(F.count("*").alias("size"), *who, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    split = split.groupBy("size", "who1", "who2").agg(F.min("sig").alias("sig")).select("sig", "size")
+    cross = _across(member.join(split, "sig").join(info.select("node", "n", "sketch"), "node"), percent)
+    more = _verified(cross, features, percent)
     label = components(links.union(more), "a", "b")
     rows = docs.join(label, "node", "left").select("id", "n", F.coalesce("component", "node").alias("c"))
     least = rows.where("c is not null").groupBy("c").agg(F.min("id").alias("component_id"))
