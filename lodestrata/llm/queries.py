@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, langid, license_scan, ngram_join, packing, pii, quality, secrets, url_rules, vector_join
 from .common import bounded_batches
+from .oracles import ORACLES  # noqa: F401
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,4 +112,3 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
