@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from .common import map_texts
 
-DIM = 8192
+DIM = 4096
 #: ASCII bytes other than letters become spaces, so digits, symbols and layout say nothing.
 _TABLE = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 #: Snippets of this many bytes are added to the sample, so that short texts are known too.
@@ -72,11 +72,11 @@ class Model:
         return self.langs[first], min(1.0, max(0.0, margin)), margin < 0.1
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, max_langs: int = 256) -> Model:
-    """Fit on at most ``per_lang`` labelled documents for each language (their whole texts).
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 240, max_langs: int = 120) -> Model:
+    """Fit on at most ``sample`` labelled documents, as many for each language (their whole texts).
 
     The sample is the documents with the smallest hashes of their ids. Feature vectors are made
-    on the executors; at most per_lang * languages of them, of 8192 floats, reach the driver.
+    on the executors; four for each sampled document, of DIM half floats, reach the driver.
     Rows whose text or language is null are left out; no labelled row gives a model that says
     ``und``. More than ``max_langs`` languages raise ValueError.
     """
@@ -87,6 +87,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return Model([], np.zeros((0, 0)), np.zeros((DIM, 0)), np.zeros(0))
+    per_lang = max(2, sample // len(langs))
     key = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 40))
     share = F.lit(0.0)
     for r in counts:
@@ -103,7 +104,9 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("k", "x"))
     got = rows.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("lang", "k", "x").collect()
     got.sort(key=lambda r: (r["lang"], r["k"], r["x"]))
-    x = np.array([np.frombuffer(v, np.float16).astype(np.float32) for r in got for v in r["x"]])
+    x = np.empty((sum(len(r["x"]) for r in got), DIM), np.float32)
+    for i, v in enumerate(v for r in got for v in r["x"]):
+        x[i] = np.frombuffer(v, np.float16)
     y = np.array([langs.index(r["lang"]) for r in got for _ in r["x"]])
     if not len(x):
         return Model([], np.zeros((0, 0)), np.zeros((DIM, 0)), np.zeros(0))
