@@ -92,8 +92,26 @@ def suffix_within_budget(df: DataFrame, key: str, order: str, cost: str, budget:
 
 
 def gini(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
-    """2 sum(i x_i) / (n sum x) - (n + 1) / n over sorted values; 0 where the sum is 0."""
-    i = F.row_number().over(Window.partitionBy(*keys, F.lit(0)).orderBy(value))
-    agg = df.withColumn("_i", i).groupBy(*keys).agg(F.sum(F.col("_i") * F.col(value)).alias("_a"), F.sum(value).alias("_s"), F.count("*").alias("_n"))
+    """2 sum(i x_i) / (n sum x) - (n + 1) / n over sorted values; 0 where the sum is 0.
+
+    Equal values are counted first, so the ordered window runs over distinct values only.
+    """
+    c = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, F.lit(0)).orderBy("_v"))
+    ranks = (upto - F.col("_c")) * F.col("_c") + F.col("_c") * (F.col("_c") + 1) / 2
+    agg = c.withColumn("_r", ranks).groupBy(*keys).agg(F.sum(F.col("_r") * F.col("_v")).alias("_a"), F.sum(F.col("_v") * F.col("_c")).alias("_s"), F.sum("_c").alias("_n"))
     g = F.when(F.col("_s") > 0, 2 * F.col("_a") / (F.col("_n") * F.col("_s")) - (F.col("_n") + 1) / F.col("_n")).otherwise(0.0)
     return agg.select(*keys, F.round(g, 6).alias("gini"))
+
+
+def dip_boundaries(df: DataFrame, key: str, order: str, score: str, least: int = 3) -> DataFrame:
+    """Rows that begin a new segment: score below mean - deviation of the key, at least ``least`` rows after the last one.
+
+    Which dips count depends on the one before, so each key's dips (few by their definition) are walked in order.
+    """
+    w = Window.partitionBy(key)
+    x = df.withColumn("_i", F.row_number().over(w.orderBy(order))).withColumn("_t", F.avg(score).over(w) - F.stddev_pop(score).over(w))
+    dips = x.where(F.col(score) < F.col("_t")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", F.col(order).alias("o")))).alias("d"))
+    start = F.struct(F.lit(1).alias("last"), F.array().cast(f"array<{df.schema[order].dataType.simpleString()}>").alias("kept"))
+    step = lambda a, d: F.when(d["_i"] - a["last"] >= least, F.struct(d["_i"].alias("last"), F.concat(a["kept"], F.array(d["o"])).alias("kept"))).otherwise(a)
+    return dips.select(key, F.explode(F.aggregate("d", start, step)["kept"]).alias(order))

@@ -167,3 +167,9 @@ def distinct_counts(t):
 def pushed_filters(t):
     x = t.lineitem.where((F.col("l_quantity") > 45) & F.col("l_discount").between(0.03, 0.07) & (F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp_ntz")))
     return x.agg(F.count("*").alias("n"))
+
+
+@query()
+def dip_boundaries(t):
+    """Orders of a customer whose price dips under mean - deviation, three apart or more."""
+    return rel.dip_boundaries(t.orders, "o_custkey", "o_orderkey", "o_totalprice")

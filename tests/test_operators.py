@@ -5,6 +5,7 @@ import random
 import pytest
 from lodestrata.functions import dates, text
 from lodestrata.operators import chunking, graph, retrieval
+from lodestrata.operators import relational as rel
 from pyspark.sql import functions as F
 
 
@@ -73,3 +74,19 @@ def test_text_functions(spark):
     assert one(text.name_in_text(F.lit("Data Base"), F.col("t")), t="the data-base, now") and not one(text.name_in_text(F.lit("art"), F.col("t")), t="start")
     assert one(text.is_noisy("t"), t=None) is False and one(text.is_noisy("t"), t="toc") and one(text.skips_extraction("t"), t="code") and one(text.needs_summary("t"), t=None)
     assert one(text.is_report_name("t"), t="a/b/X_RECEIPT_1.md") and not one(text.is_report_name("t"), t="novel.md")
+
+
+def test_dip_boundaries(spark):
+    rng = random.Random(4)
+    rows = [(k, i, rng.choice([1.0, 5.0, 5.0, 6.0])) for k in range(3) for i in range(40)]
+    want = []
+    for k in range(3):
+        v = [s for q, _, s in rows if q == k]
+        m = sum(v) / len(v)
+        t, last = m - (sum((x - m) ** 2 for x in v) / len(v)) ** 0.5, 0
+        for i, x in enumerate(v):
+            if x < t and i - last >= 3:
+                want.append((k, i))
+                last = i
+    got = rel.dip_boundaries(spark.createDataFrame(rows, "k long, i long, s double"), "k", "i", "s")
+    assert sorted((r.k, r.i) for r in got.collect()) == want
