@@ -151,3 +151,18 @@ def upsert_merge(t):
     p = t.part.select("p_partkey", "p_name", "p_size", "p_retailprice")
     new = p.where("p_partkey % 4 = 1").select("p_partkey", F.upper("p_name").alias("p_name"), (F.col("p_size") + 1).alias("p_size"), "p_retailprice")
     return rel.upsert(p, new, ["p_partkey"])
+
+
+@query(sql="SELECT o_custkey, string_agg('refs[' || i || ']: ' || v, ';' ORDER BY i) AS errors FROM (SELECT o_custkey, unnest(refs) AS v, unnest(range(len(refs))) AS i FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS refs FROM orders GROUP BY o_custkey)) WHERE v % 13 = 0 GROUP BY o_custkey")
+def reference_errors(t):
+    """References of each record that the registry lacks, with their places."""
+    r = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("refs"))
+    e = a.reference_errors(r, "o_custkey", "refs", t.orders.where("o_orderkey % 13 <> 0"), "o_orderkey")
+    return e.select("o_custkey", F.array_join("errors", ";").alias("errors"))
+
+
+@query(sql="""WITH one AS (SELECT DISTINCT l_orderkey % 40 AS k, l_partkey AS c FROM lineitem WHERE l_linenumber = 1), two AS (SELECT DISTINCT l_orderkey % 40 AS k, l_partkey AS c FROM lineitem WHERE l_linenumber > 1)
+SELECT k, count_if(c % 3 = 0) AS gain, round(count_if(c % 3 <> 0) / count(*), 6) AS drift FROM (SELECT * FROM two EXCEPT SELECT * FROM one) GROUP BY k""")
+def hop_pruning(t):
+    x = t.lineitem.select((F.col("l_orderkey") % 40).alias("k"), F.col("l_partkey").alias("c"), "l_linenumber")
+    return a.hop_pruning(x.where("l_linenumber = 1"), x.where("l_linenumber > 1"), "k", "c", x.where("c % 3 = 0"))

@@ -60,3 +60,10 @@ def test_planning(spark):
     assert grown.count() == 3
     a, b = (one(spark, pl.cache_key("t", F.array(F.lit(x), F.lit(y)), "m"), " What  IS") for x, y in (("c1", "c2"), ("c2", "c1")))
     assert a == b
+
+
+def test_normalized_record(spark):
+    from lodestrata.operators import audit
+
+    r = one(spark, audit.normalized_record(F.col("t"), 5, 2), '{"summary": "  long text ", "concepts": [" A", "a", "", "b", "c"]}')
+    assert (r.summary, r.concepts) == ("long ", ["a", "b"]) and one(spark, audit.normalized_record(F.col("t")), "{").summary == ""
