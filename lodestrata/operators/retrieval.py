@@ -199,3 +199,35 @@ def ranking_metrics(ranked: DataFrame, gold: DataFrame, query: str, item: str, r
     ideal = ideal.groupBy(query).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_i") <= k, (F.pow(F.lit(2.0), F.col(grade)) - 1) / disc("_i"))).alias("idcg"))
     j = got.join(ideal, query)
     return j.select(query, F.round("mrr", 6).alias("mrr"), F.round(F.col("ap_sum") / F.least("n", F.lit(k)), 6).alias("ap"), F.round(F.col("found") / F.col("n"), 6).alias("recall"), F.round(F.col("dcg") / F.col("idcg"), 6).alias("ndcg"))
+
+
+def sufficiency_repair(pool: DataFrame, required: DataFrame, query: str, item: str, score: str, atoms: str, seat: str, least: float = 0.8, swaps: int = 2) -> DataFrame:
+    """Chosen rows after a bounded repair: (query, item, seat, covered).
+
+    ``pool`` holds all candidates with their atoms and the seats of those chosen (else null);
+    ``required`` has (query, needed). While the chosen cover less than ``least`` of the needed
+    atoms, the candidate that adds most (ties by score, then id) takes the seat of the chosen
+    row whose atoms are all covered by others, the last such seat first; ``swaps`` times at most.
+    """
+
+    def repair(g: pd.DataFrame) -> pd.DataFrame:
+        need = set(g["needed"].iloc[0] if g["needed"].iloc[0] is not None else ())
+        has = {r[item]: set(r[atoms]) & need for _, r in g.iterrows()}
+        seats = {r[item]: int(r[seat]) for _, r in g.iterrows() if pd.notna(r[seat])}
+        rank = dict(zip(g[item], g[score], strict=True))
+        covered = lambda who: set().union(*(has[i] for i in who)) if who else set()
+        for _ in range(swaps):
+            now = covered(seats)
+            if not need or len(now) >= least * len(need):
+                break
+            best = min((i for i in has if i not in seats), key=lambda i: (-len(has[i] - now), -rank[i], i), default=None)
+            spare = max((i for i in seats if has[i] <= covered([j for j in seats if j != i])), key=lambda i: seats[i], default=None)
+            if best is None or spare is None or not has[best] - now:
+                break
+            seats[best] = seats.pop(spare)
+        share = round(len(covered(seats)) / len(need), 6) if need else 1.0
+        rows = sorted(seats.items(), key=lambda x: x[1])
+        return pd.DataFrame({query: [g[query].iloc[0]] * len(rows), item: [i for i, _ in rows], "seat": [s for _, s in rows], "covered": [share] * len(rows)})
+
+    kinds = f"`{query}` {pool.schema[query].dataType.simpleString()}, `{item}` {pool.schema[item].dataType.simpleString()}, seat long, covered double"
+    return pool.join(required.select(query, "needed"), query, "left").groupBy(query).applyInPandas(repair, kinds)

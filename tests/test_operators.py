@@ -90,3 +90,10 @@ def test_dip_boundaries(spark):
                 last = i
     got = rel.dip_boundaries(spark.createDataFrame(rows, "k long, i long, s double"), "k", "i", "s")
     assert sorted((r.k, r.i) for r in got.collect()) == want
+
+
+def test_sufficiency_repair(spark):
+    pool = spark.createDataFrame([(1, 1, 0.9, ["a"], 1), (1, 2, 0.8, ["a"], 2), (1, 3, 0.5, ["b", "c"], None), (1, 4, 0.7, ["b"], None), (2, 5, 0.9, ["x"], 1)], "q long, item long, score double, atoms array<string>, seat long")
+    need = spark.createDataFrame([(1, ["a", "b", "c"])], "q long, needed array<string>")
+    got = sorted(tuple(r) for r in retrieval.sufficiency_repair(pool, need, "q", "item", "score", "atoms", "seat").collect())
+    assert got == [(1, 1, 1, 1.0), (1, 3, 2, 1.0), (2, 5, 1, 1.0)]
