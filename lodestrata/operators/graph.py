@@ -258,3 +258,23 @@ def similar_topology(edges: DataFrame, profile: DataFrame, node: str, least: flo
 
 def hubs(rank: DataFrame, k: int) -> DataFrame:
     return rel.ranked(rank.orderBy(F.desc("rank"), "node").limit(k), [F.lit(0)], [F.desc("rank"), "node"], "place")
+
+
+def transfers(analogies: DataFrame, rank: DataFrame, profile: DataFrame, node: str, quantile: float = 0.9, domains: int = 2) -> DataFrame:
+    """Hubs of the top decile with analogs in two other domains or more: (hub, domain, analog, sim), the best of each domain."""
+    cut_at = rank.agg(F.percentile("rank", F.lit(quantile)).alias("q"))
+    hubs_ = rank.crossJoin(F.broadcast(cut_at)).where(F.col("rank") >= F.col("q")).select(F.col("node").alias("hub"))  # one row on the right
+    both = analogies.select(F.col("u").alias("hub"), F.col("v").alias("analog"), "sim").union(analogies.select("v", "u", "sim"))
+    x = both.join(hubs_, "hub", "left_semi").join(profile.select(F.col(node).alias("analog"), "domain"), "analog")
+    best = rel.top_per_key(x, ["hub", "domain"], [F.desc("sim"), "analog"], 1, "_r").drop("_r")
+    many = best.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") >= domains)
+    return best.join(many, "hub", "left_semi").select("hub", "domain", "analog", "sim")
+
+
+def weak_links(edges: DataFrame, profile: DataFrame, node: str, most: int = 1) -> DataFrame:
+    """Edges across domains of weight ``most`` or less whose ends share no neighbour: (u, v, du, dv)."""
+    p = lambda x, d: profile.select(F.col(node).alias(x), F.col("domain").alias(d))
+    e = edges.where(F.col("w") <= most).join(p("u", "du"), "u").join(p("v", "dv"), "v").where("du <> dv")
+    d = both_ways(edges).select("src", "dst")
+    shared = e.select("u", "v").join(d.select(F.col("src").alias("u"), F.col("dst").alias("x")), "u").join(d.select(F.col("src").alias("v"), F.col("dst").alias("x")), ["v", "x"])
+    return e.join(shared.select("u", "v").distinct(), ["u", "v"], "left_anti").select("u", "v", "du", "dv")

@@ -187,3 +187,16 @@ def orphan_entities(t):
 def top_entities_per_cluster(t):
     n = mentions(t).groupBy("entity").agg(F.count("*").alias("n")).join(t.part, F.col("entity") == F.col("p_partkey"))
     return rel.top_per_key(n, ["p_brand"], [F.desc("n"), "entity"], 5, "brand_rank").select("entity", "brand_rank", "p_name")
+
+
+@query()
+def transfer_hubs(t):
+    e = edges(t)
+    return g.transfers(g.similar_topology(e, profile(t), "node", 0.97, 120), g.pagerank(e, 5), profile(t), "node")
+
+
+@query(sql=f"""WITH b AS MATERIALIZED (SELECT * FROM {BOTH}), e AS (SELECT u, v, x.domain AS du, y.domain AS dv FROM {EDGES} JOIN {PROFILE} x ON x.node = u JOIN {PROFILE} y ON y.node = v WHERE w <= 1 AND x.domain <> y.domain)
+SELECT u, v, du, dv FROM e WHERE NOT EXISTS (SELECT 1 FROM b p JOIN b q ON p.dst = q.dst WHERE p.src = e.u AND q.src = e.v)""")
+def weak_links(t):
+    """Edges across domains of weight one whose ends share no neighbour."""
+    return g.weak_links(edges(t), profile(t), "node")
