@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import ascii_lower, components, cut, map_texts, slices, words_of
 
@@ -315,8 +316,11 @@ def _features(df: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFra
     return rows.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-#: Ids that are broadcast at most (8 MB).
+#: Ids that are broadcast at most (8 MB); beyond that both sides are shuffled.
 MOST_BROADCAST = 1_000_000
+#: Pairs of one set that are verified before the others: in a dense group they connect nearly all,
+#: and pairs within a component need no verifying.
+FIRST = 3
 
 
 def _bits(a: str, b: str):
@@ -414,9 +418,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Equal sets collapse to one node. Nodes that share a signature are compared with one hub of
     that signature, not with each other. Links give components. Only signatures whose other
     nodes still are in several components are joined with themselves (one signature for each set
-    of nodes), between components, under bounds on sizes and parity sketches, and verified
-    exactly; so no link that could join two components is missed, and no group is expanded
-    into all its pairs.
+    of nodes), between components, under bounds on sizes and parity sketches; a few pairs of
+    each node are verified exactly first, then all that still lie between components. So no
+    link that could join two components is missed, and no group is expanded into all its pairs.
     """
     found = cut(_scan(df, id_col, text_col, n))
     docs = found.where("times is null").select("id", "n", "node", "sketch")
@@ -436,8 +440,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     split = member.groupBy("sig").agg(F.count("*").alias("size"), *who, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
     split = split.groupBy("size", "who1", "who2").agg(F.min("sig").alias("sig")).select("sig", "size")
     cross = _across(member.join(split, "sig").join(info.select("node", "n", "sketch"), "node"), percent)
-    more = _verified(cross, features, percent)
-    label = components(links.union(more), "a", "b")
+    cross = cut(cross.withColumn("turn", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))))
+    links = links.union(_verified(cross.where(F.col("turn") <= FIRST).select("a", "b"), features, percent))
+    label = components(links, "a", "b")
+    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    rest = cross.where(F.col("turn") > FIRST).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    label = components(links.union(_verified(rest, features, percent)), "a", "b")
     rows = docs.join(label, "node", "left").select("id", "n", F.coalesce("component", "node").alias("c"))
     least = rows.where("c is not null").groupBy("c").agg(F.min("id").alias("component_id"))
     return rows.join(least, "c", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
