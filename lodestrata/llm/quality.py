@@ -137,7 +137,7 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", ma
 
 # Bounds of the method's own verdict.
 GUARD_WORDS = 40
-MAX_CLASS = 0.30
+MAX_CLASS = 0.33
 MAX_COMMON = 0.75
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "js_class", "js_common", "base_failed", "kept")
 
