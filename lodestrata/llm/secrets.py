@@ -168,7 +168,7 @@ def inferred_spans(text: str, automata: dict[str, Automaton]) -> list[tuple[int,
         s = m[0].strip("=-")
         if len(s) < 16 or s.isalpha() or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s):
             continue
-        x, start = symbols(s[:4096]), m.start() + m[0].index(s)
+        x, start = symbols(s), m.start() + m[0].index(s)
         usual = ordinary.score(x) if ordinary else math.log(_FLOOR)
         label, best = max(((k, a.score(x)) for k, a in automata.items() if k), key=lambda t: t[1], default=("", -math.inf))
         if best - usual >= MARGIN:
@@ -181,8 +181,7 @@ def scan(df: DataFrame, automata: dict[str, Automaton], id_col: str = "doc_id",
 
     Spans are in code points, the end exclusive, ordered by start, then base kinds as listed,
     then inferred labels. A null or empty text has none; repeated rows and null ids stay; an
-    empty table gives no rows; other columns are ignored. Each candidate is scored by its
-    first 4096 characters; its span is whole.
+    empty table gives no rows; other columns are ignored.
     """
     shared = df.sparkSession.sparkContext.broadcast(automata)
     kind = df.schema[id_col].dataType.simpleString()

@@ -51,3 +51,15 @@ def test_stages_keep_columns_and_rows_that_are_clean(spark):
         assert got.columns == docs.columns
     lang = corpus_pipeline.identify_language(spark, docs, "")
     assert lang.count() >= 0.99 * docs.count()
+
+
+def test_stages_take_nulls_repeats_and_empty_tables(spark, docs):
+    words = "the quick brown fox jumps over a lazy dog while seven wizards brew strong tea near the old stone bridge today"
+    rows = [(None, words, "en"), (1, None, "en"), (2, "", None), (3, words, "en"), (3, words, "en"), (4, words + " again", None), (5, "token = abcdefgh1 " + words[::-1], "de"), (6, "x" * 100_000, "en"), (7, words.upper(), "fr")]
+    for table in (docs(rows), docs([])):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, table, "")
+            assert got.columns == table.columns and got.count() <= len(rows)
+        corpus_pipeline.pack_sequences(spark, table, "").count()
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs(rows), "").collect()}
+    assert 3 in kept and 4 not in kept and {1, 2, 6} <= kept
