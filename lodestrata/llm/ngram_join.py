@@ -406,6 +406,15 @@ def _verified(pairs: DataFrame, features, percent: int) -> DataFrame:
     return cut(pairs.join(a, "a").join(b, "b").where(both * 100 >= (F.size("ha") + F.size("hb") - both) * percent).select("a", "b"))
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links: components of the components that they join, then of their nodes."""
+    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    up = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = components(up, "a", "b")
+    moved = label.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return cut(moved.union(top.join(label, "node", "left_anti")))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, log2_bits: int = 25) -> DataFrame:
     """Per row: (id_col, n_shingles, component_id) under links of Jaccard >= percent / 100.
 
@@ -441,12 +450,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     split = split.groupBy("size", "who1", "who2").agg(F.min("sig").alias("sig")).select("sig", "size")
     cross = _across(member.join(split, "sig").join(info.select("node", "n", "sketch"), "node"), percent)
     cross = cut(cross.withColumn("turn", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))))
-    links = links.union(_verified(cross.where(F.col("turn") <= FIRST).select("a", "b"), features, percent))
-    label = components(links, "a", "b")
+    label = _joined(label, _verified(cross.where(F.col("turn") <= FIRST).select("a", "b"), features, percent))
     of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     rest = cross.where(F.col("turn") > FIRST).join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    label = components(links.union(_verified(rest, features, percent)), "a", "b")
+    label = _joined(label, _verified(rest, features, percent))
     rows = docs.join(label, "node", "left").select("id", "n", F.coalesce("component", "node").alias("c"))
     least = rows.where("c is not null").groupBy("c").agg(F.min("id").alias("component_id"))
     return rows.join(least, "c", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
