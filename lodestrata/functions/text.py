@@ -39,9 +39,11 @@ def content_words(text: Column | str) -> Column:
 
 def shingles(tokens: Column, k: int) -> Column:
     """Distinct k-grams joined by a space; fewer tokens than k give none."""
-    n = F.size(tokens)
-    made = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(tokens, i, k), " "))
-    return F.when(n >= k, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+    def of(w):
+        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(F.size(w) >= k, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(tokens), of)[0]  # bound once, not evaluated anew for each place
 
 
 def ngram_terms(tokens: Column, most: int = 3, cap: int = 12, stop: tuple = tuple(QUERY_STOP_WORDS)) -> Column:

@@ -11,10 +11,11 @@ from ..operators import relational as rel
 from .registry import Tables, query
 from .texts import CONTENT
 
-SHINGLES = f"(SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, {CONTENT} AS w FROM documents), unnest(range(1, len(w) - 3)) u(i))"
-PAIRS = f"""(SELECT * FROM (SELECT a, b, round(n / (na + nb - n), 6) AS jaccard, round(n / least(na, nb), 6) AS containment FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n, any_value(p.n) AS na, any_value(q.n) AS nb
- FROM {SHINGLES} x JOIN {SHINGLES} y ON x.s = y.s AND x.doc_id < y.doc_id JOIN (SELECT doc_id, count(*) AS n FROM {SHINGLES} GROUP BY doc_id HAVING count(*) >= 24) p ON p.doc_id = x.doc_id
- JOIN (SELECT doc_id, count(*) AS n FROM {SHINGLES} GROUP BY doc_id HAVING count(*) >= 24) q ON q.doc_id = y.doc_id GROUP BY ALL)) WHERE jaccard >= 0.1 AND containment >= 0.5)"""
+_SETS = f"""w AS MATERIALIZED (SELECT doc_id, {CONTENT} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id HAVING count(*) >= 24),
+pairs AS MATERIALIZED (SELECT a, b, round(c / (na + nb - c), 6) AS jaccard, round(c / least(na, nb), 6) AS containment FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c, any_value(p.n) AS na, any_value(q.n) AS nb
+ FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id GROUP BY ALL) WHERE round(c / (na + nb - c), 6) >= 0.1 AND round(c / least(na, nb), 6) >= 0.5)"""
 
 
 def pairs(t: Tables):
@@ -22,12 +23,12 @@ def pairs(t: Tables):
     return a.near_duplicate_pairs(s, "doc_id", "s")
 
 
-@query(sql=f"SELECT a, b, jaccard, containment, CASE WHEN containment >= 0.95 THEN 'certain' WHEN containment >= 0.65 THEN 'likely' ELSE 'review' END AS confidence FROM {PAIRS}")
+@query(sql=f"WITH {_SETS} SELECT a, b, jaccard, containment, CASE WHEN containment >= 0.95 THEN 'certain' WHEN containment >= 0.65 THEN 'likely' ELSE 'review' END AS confidence FROM pairs")
 def near_dup_pairs(t):
     return pairs(t)
 
 
-CLUSTERS = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM {PAIRS} WHERE containment >= 0.65), d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach(node, c) AS (SELECT a, a FROM d UNION SELECT d.b, reach.c FROM reach JOIN d ON d.a = reach.node),
+CLUSTERS = f"""WITH RECURSIVE {_SETS}, e AS MATERIALIZED (SELECT a, b FROM pairs WHERE containment >= 0.65), d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach(node, c) AS (SELECT a, a FROM d UNION SELECT d.b, reach.c FROM reach JOIN d ON d.a = reach.node),
 cl AS (SELECT node AS doc_id, min(c) AS cluster FROM reach GROUP BY node)"""
 
 

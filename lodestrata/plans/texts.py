@@ -207,12 +207,15 @@ def contamination(t):
     items = items.where("n >= 4").withColumn("key", F.xxhash64(head, "n"))
     sizes = [r[0] for r in items.select("n").distinct().collect()]  # at most five values
     docs = t.documents.select("doc_id", flat("text").alias("body"))
-    w = F.split("body", " ")
 
     def grams_of(n):
         size = max(n - 2, 1)
-        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " "), F.lit(n)))
-        return F.when(F.size(w) >= size, made)
+
+        def of(w):
+            made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " "), F.lit(n)))
+            return F.when(F.size(w) >= size, made)
+
+        return F.transform(F.array(F.split("body", " ")), of)[0]  # bound once
 
     keys = [grams_of(n) for n in sizes]
     none = F.array().cast("array<bigint>")
