@@ -88,7 +88,7 @@ def hubs(t):
 @query(sql=f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {BOTH} WHERE w >= 1 AND (src + dst) % 97 = 0), reach(node, c) AS (SELECT src, src FROM e UNION SELECT e.dst, reach.c FROM reach JOIN e ON e.src = reach.node)
 SELECT node, min(c) AS component FROM reach GROUP BY node""")
 def connected_components(t):
-    return g.components(edges(t).where("(u + v) % 97 = 0"))
+    return g.components(edges(t))
 
 
 @query()
@@ -99,7 +99,7 @@ def communities(t):
 
 @query()
 def bridge_edges(t):
-    e = edges(t).where("(u + v) % 97 = 0")
+    e = edges(t)
     return g.bridges(e, g.components(e))
 
 
@@ -127,7 +127,7 @@ def frontier_nodes(t):
 c AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL), d AS (SELECT DISTINCT domain FROM {PROFILE})
 SELECT x.domain AS a, y.domain AS b, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'DISCONNECTED' ELSE 'THIN' END AS gap FROM d x JOIN d y ON x.domain < y.domain LEFT JOIN c ON c.a = x.domain AND c.b = y.domain WHERE coalesce(n, 0) < 3""")
 def cluster_gaps(t):
-    return g.cluster_gaps(edges(t).where("(u + v) % 41 = 0"), profile(t).withColumnRenamed("domain", "c"))
+    return g.cluster_gaps(edges(t), profile(t).withColumnRenamed("domain", "c"))
 
 
 @query(sql=f"SELECT least(u, v) AS u, greatest(u, v) AS v, sum(w)::BIGINT AS w FROM (SELECT CASE WHEN u % 10 = 7 THEN u - 7 ELSE u END AS u, CASE WHEN v % 10 = 7 THEN v - 7 ELSE v END AS v, w FROM {EDGES}) WHERE u <> v GROUP BY ALL")
