@@ -137,11 +137,16 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", ma
 
 # Bounds of the method's own verdict.
 GUARD_WORDS = 40
-MAX_CLASS = 0.33
-MAX_COMMON = 0.75
+MAX_CLASS = 0.30
+#: The bound on common words is sqrt(COMMON_BASE**2 + COMMON_NOISE**2 / words): sampling noise shrinks with the root of the number of words.
+COMMON_BASE, COMMON_NOISE = 0.10, 3.2
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "js_class", "js_common", "base_failed", "kept")
 
 
+def max_common(words: int) -> float:
+    return (COMMON_BASE**2 + COMMON_NOISE**2 / words) ** 0.5
+
+
 def _judge(text: str | None, lang: str | None, refs: dict[str, np.ndarray], c: _Counter, min_words: int = 10, max_repeat: int = 20) -> tuple:
     text = text or ""
     data = text.encode("utf-8", "surrogatepass")
@@ -149,9 +154,13 @@ def _judge(text: str | None, lang: str | None, refs: dict[str, np.ndarray], c: _
     repeat = repeated_words(h)
     failed = len(h) < min_words or 100 * repeat > max_repeat * len(h)
     x = c.histogram(data, h)
-    near = [refs[lang]] if lang in refs else list(refs.values())
-    a, b = min(((js_distance(x[:CLASSES], r[:CLASSES]), js_distance(x[CLASSES:], r[CLASSES:])) for r in near), key=sum, default=(0.0, 0.0))
-    odd = len(h) >= GUARD_WORDS and (a > MAX_CLASS or b > MAX_COMMON)
+    away = lambda r: (js_distance(x[:CLASSES], r[:CLASSES]), js_distance(x[CLASSES:], r[CLASSES:]))
+    near = lambda: min(map(away, refs.values()), key=sum, default=(0.0, 0.0))
+    beyond = lambda d: len(h) >= GUARD_WORDS and (d[0] > MAX_CLASS or d[1] > max_common(len(h)))
+    a, b = away(refs[lang]) if lang in refs else near()
+    if beyond((a, b)) and lang in refs and not beyond(other := near()):
+        a, b = other  # mislabelled
+    odd = beyond((a, b))
     blanks = sum(map(text.count, " \t\n\x0b\x0c\r"))
     return len(h), len(text) - blanks, len(data) - len(data.translate(None, SYMBOLS)), duplicate_lines(text), repeat, a, b, failed, not failed and not odd
 
@@ -161,8 +170,9 @@ def assess(df: DataFrame, refs: dict[str, np.ndarray], id_col: str = "doc_id", t
 
     base_failed: fewer than 10 words, or over 20 percent of words in repeated 5-word windows.
     Else a document of GUARD_WORDS words or more is rejected when the distance of its character
-    classes or of its common words from the reference of its language (without one: from the
-    nearest reference) is above its bound; shorter ones are kept. A null or empty text has no
+    classes or of its common words from the reference of its language is above its bound, and
+    so it is from the nearest reference (the only one asked without a known language); shorter
+    ones are kept. A null or empty text has no
     words and fails. An empty table gives no rows; repeated rows and null ids stay; other
     columns are ignored.
     """

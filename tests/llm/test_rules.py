@@ -42,6 +42,19 @@ def test_quality_keeps_prose_and_rejects_symbol_noise(spark):
     assert not quality._judge(" ".join(noise[i : i + 3] for i in range(0, 390, 3)), "en", refs, quality._Counter())[-1]
 
 
+def test_quality_rejects_word_lists_and_keeps_mislabelled_prose(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    refs, c = quality.references(df), quality._Counter()
+    known = {w for x in quality.COMMON for w in (x, x.capitalize())}
+    prose = [(r.text, r.lang) for r in df.collect() if r.text and not re.search(r"[#*$%&|<>]", r.text) and not quality._judge(r.text, r.lang, refs, c)[-2] and len(r.text.split()) >= 150]
+    rejected = kept = 0
+    for t, lang in prose:
+        words = [w for w in t.split() if w not in known][:300]
+        rejected += len(words) < 120 or not quality._judge(" ".join(words), lang, refs, c)[-1]
+        kept += quality._judge(t, "de" if lang != "de" else "en", refs, c)[-1]
+    assert len(prose) > 100 and rejected >= 0.9 * len(prose) and kept >= 0.99 * len(prose)
+
+
 def test_js_distance():
     assert quality.js_distance(np.array([1, 0]), np.array([0, 1])) == pytest.approx(1)
     assert quality.js_distance(np.array([2, 2]), np.array([1, 1])) == 0 == quality.js_distance(np.array([0, 0]), np.array([1, 1]))
