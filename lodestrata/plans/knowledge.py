@@ -68,7 +68,7 @@ def best_excerpt(t):
 @query(sql=f"SELECT w, CASE WHEN bool_or(side = 1) AND bool_or(side = 2) THEN 'both' WHEN bool_or(side = 1) THEN 'entity' ELSE 'term' END AS side FROM (SELECT lower(trim(unnest(string_split(p_name, ' ')))) AS w, 1 AS side FROM part UNION ALL SELECT unnest({CONTENT}), 2 FROM documents WHERE doc_id < 50) GROUP BY w")
 def split_overlay(t):
     names = t.part.select(F.explode(F.split("p_name", " ")).alias("name"))
-    return k.split_overlay(names, t.documents.where("doc_id < 50").select(F.explode(text.content_words("text")).alias("term")))
+    return k.split_overlay(names, t.documents.select(F.explode(text.content_words("text")).alias("term")))
 
 
 @query(sql="WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), gg AS (SELECT round(2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*), 6) AS gini FROM (SELECT n, row_number() OVER (ORDER BY n) AS i FROM c)), tt AS (SELECT count(*) AS n, max(n) / sum(n) AS top FROM c) SELECT n, round(top, 6) AS top, gini, CASE WHEN gini > 0.6 THEN 'CONCENTRATED' WHEN top > 0.5 THEN 'SKEWED' WHEN n > 5 AND top < 0.25 THEN 'DISPERSED' ELSE 'BALANCED' END AS shape FROM tt, gg")
