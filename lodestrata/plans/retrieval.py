@@ -133,7 +133,7 @@ def degree_boost(t):
 @query()
 def mmr_select(t):
     """Six diverse documents of each passage's twenty best."""
-    pool = lexical(t, 20).join(t.documents.select("doc_id", "source", F.slice(text.content_words("text"), 1, 200).alias("tokens")), "doc_id")
+    pool = lexical(t, 20).join(t.documents.select("doc_id", "source", F.array_distinct(text.content_words("text")).alias("tokens")), "doc_id")
     top = F.max("score").over(rel.Window.partitionBy("item_id"))
     return r.mmr(pool.withColumn("score", F.round(F.col("score") / top, 6)), "item_id", "doc_id", "source", "score", "tokens", 6)
 

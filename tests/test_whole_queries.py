@@ -21,3 +21,11 @@ def run(spark, name, d):
 def test_overlay_takes_terms_of_all_documents(spark, tmp_path):
     d = tables(tmp_path, part=("p_name VARCHAR", [["copper anvil"]]), documents=("doc_id BIGINT, text VARCHAR", [[3, "purple lantern"], [700, "copper harbour"]]))
     assert dict(run(spark, "split_overlay", d)) == {"copper": "both", "anvil": "entity", "purple": "term", "lantern": "term", "harbour": "term"}
+
+
+def test_diversity_compares_whole_texts(spark, tmp_path):
+    head, tails = " ".join(f"head{i}" for i in range(260)), [" ".join(f"tail{k}n{i}" for i in range(900)) for k in range(2)]
+    docs = [[1, f"{head} {tails[0]}", "a"], [2, f"{head} {tails[0]}", "b"], [3, f"{head} {tails[1]}", "c"], [4, "other words", "d"]]
+    d = tables(tmp_path, documents=("doc_id BIGINT, text VARCHAR, source VARCHAR", docs), benchmark=("item_id BIGINT, text VARCHAR", [[1, head]]))
+    seats = {r.seat: r.doc_id for r in registry.QUERIES["mmr_select"](spark, d).collect()}
+    assert seats == {1: 1, 2: 3, 3: 2}
