@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -52,9 +54,10 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple
     """
     order = np.argsort(-lengths, kind="stable")
     best = None
-    for floor in capacities:
-        def opens(n, floor=floor):
-            return min((c for c in capacities if c >= n and (c >= floor or c == capacities[-1])), key=lambda c: (cost(c) / c if floor != capacities[0] else cost(c), c))
+    some = [(*r, capacities[-1]) for k in range(len(capacities)) for r in combinations(capacities[:-1], k)]
+    for sizes, rule in product(some, (lambda c: c, lambda c: (cost(c) / c, c))):
+        def opens(n, sizes=sizes, rule=rule):
+            return min((c for c in sizes if c >= n), key=rule)
 
         at, used = _fill(lengths[order], capacities, opens)
         size = np.array(capacities, np.int64)[np.searchsorted(capacities, used)] if used else np.zeros(0, np.int64)

@@ -158,3 +158,23 @@ def test_packing_fills_bins():
     at, cap = packing.pack(n)
     used = np.bincount(at, weights=n)
     assert (used <= cap).all() and used.sum() / cap.sum() > 0.97
+
+
+def test_packing_is_cheapest_of_all_subsets_and_rules(monkeypatch):
+    from itertools import combinations
+
+    tried, fill = [], packing._fill
+    monkeypatch.setattr(packing, "_fill", lambda n, c, opens: tried.append([opens(x) for x in (1, 600, 1500)]) or fill(n, c, opens))
+    rng, top = np.random.default_rng(3), packing.CAPACITIES[-1]
+    for n in (rng.integers(1, 700, 50), rng.integers(400, 2049, 50)):
+        tried.clear()
+        at, cap = packing.pack(n)
+        total, want = sum(map(packing.cost, cap.tolist())), []
+        for k in range(len(packing.CAPACITIES)):
+            for sizes in combinations(packing.CAPACITIES[:-1], k):
+                for rule in (lambda c: c, lambda c: packing.cost(c) / c):
+                    opens = lambda x, s=(*sizes, top), r=rule: min((c for c in s if c >= x), key=r)
+                    assert [opens(x) for x in (1, 600, 1500)] in tried
+                    _, used = fill(np.sort(n)[::-1], packing.CAPACITIES, opens)
+                    want.append(sum(packing.cost(min(c for c in packing.CAPACITIES if c >= u)) for u in used))
+        assert total == min(want)
