@@ -139,6 +139,24 @@ class Automaton:
         return total / len(s)
 
 
+    def tails(self, s: str, starts: list[int]) -> list[float]:
+        """``score(symbols(s[i:]))`` for each start; walks that meet in a state share the rest, so many starts stay near one pass."""
+        rest, n, known, out = [_CLASS.get(c, c) for c in s] + ["$"], len(s) + 1, {}, []
+        for i in starts:
+            head, at, j, path = symbols(s[i : i + _LITERAL])[:-1], 0, i, []
+            while j < n and at is not None and not (j - i >= _LITERAL and (j, at) in known):
+                c = head[j - i] if j - i < len(head) else rest[j]
+                path.append((j, at, self.logp[at].get(c, math.log(_FLOOR))))
+                at, j = self.next[at].get(c), j + 1
+            total = 0.0 if j == n else (n - j) * math.log(_FLOOR) if at is None else known[j, at]
+            for k, state, p in reversed(path):
+                total += p
+                if k - i >= _LITERAL:
+                    known[k, state] = total
+            out.append(total / (n - i))
+        return out
+
+
 def infer(labelled: list[tuple[str, str]]) -> dict[str, Automaton]:
     """One automaton per label; the label '' marks ordinary strings."""
     groups: dict[str, list] = {}
@@ -159,8 +177,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _parts(s: str) -> list[tuple[int, int]]:
+    """The whole run, then what follows each '=' or '/', up to the run's end and up to the next of them; the longest first."""
+    marks = [i for i, c in enumerate(s) if c in "=/"]
+    ends = {(i, j) for i, j in zip([0, *(i + 1 for i in marks)], [*marks, len(s)], strict=True)} | {(i + 1, len(s)) for i in marks} | {(0, len(s))}
+    digit, letter = (max((i for i, c in enumerate(s) if f(c)), default=-1) for f in (str.isdigit, str.isalpha))
+    fits = lambda i, j: j - i >= 16 and (digit >= i and letter >= i if j == len(s) else bool(re.search("[0-9]", s[i:j]) and re.search("[A-Za-z]", s[i:j])))
+    return sorted((p for p in ends if fits(*p)), key=lambda p: (p[0] - p[1], p))
+
+
 def inferred_spans(text: str, automata: dict[str, Automaton]) -> list[tuple[int, int, str]]:
-    """Candidate runs that a credential format explains better than ordinary strings do."""
+    """Candidate runs, or else their longest part after a '=' or '/', that a credential format explains better than ordinary strings do."""
     out, ordinary = [], automata.get("")
     if not any(d in text for d in "0123456789"):
         return out
@@ -168,11 +195,17 @@ def inferred_spans(text: str, automata: dict[str, Automaton]) -> list[tuple[int,
         s = m[0].strip("=-")
         if len(s) < 16 or s.isalpha() or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s):
             continue
-        x, start = symbols(s), m.start() + m[0].index(s)
-        usual = ordinary.score(x) if ordinary else math.log(_FLOOR)
-        label, best = max(((k, a.score(x)) for k, a in automata.items() if k), key=lambda t: t[1], default=("", -math.inf))
-        if best - usual >= MARGIN:
-            out.append((start, start + len(s), label))
+        start = m.start() + m[0].index(s)
+        parts = _parts(s)
+        tails = {k: iter(a.tails(s, [i for i, j in parts if j == len(s)])) for k, a in automata.items()}
+        for i, j in parts:
+            x = symbols(s[i:j]) if j < len(s) else None
+            score = {k: a.score(x) if x else next(tails[k]) for k, a in automata.items()}
+            usual = score.pop("", math.log(_FLOOR))
+            label, best = max(score.items(), key=lambda t: t[1], default=("", -math.inf))
+            if best - usual >= MARGIN:
+                out.append((start + i, start + j, label))
+                break
     return out
 
 
