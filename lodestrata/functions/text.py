@@ -173,12 +173,21 @@ def is_report_name(name: Column | str) -> Column:
     return F.regexp_extract(as_column(name), "[^/]+$", 0).rlike(r"(?i)^.*(_receipt|_report|handoff|_audit)[^/]*\.(md|json)$")
 
 
-def lexical_score(terms: Column, hay: Column, phrase: Column, heading: Column) -> Column:
-    """0 without a whole-word hit, else min(.98, .45 + .35 coverage + .18 phrase + .12 heading), 4 places."""
-    pad = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), F.lit(" "))
-    hit = lambda c: F.size(F.filter(terms, lambda t: pad(c).contains(F.concat(F.lit(" "), t, F.lit(" ")))))
-    n = hit(hay)
-    raw = 0.45 + 0.35 * n / F.greatest(F.size(terms), F.lit(1)) + F.when(F.lower(hay).contains(F.lower(F.trim(phrase))), 0.18).otherwise(0.0) + F.when(hit(heading) > 0, 0.12).otherwise(0.0)
+def padded(text: Column | str) -> Column:
+    """Lower-case runs of letters and digits between single blanks, with a blank at either end: whole words can be looked up."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(as_column(text)), "[^a-z0-9]+", " ")), F.lit(" "))
+
+
+def scanned(hay: Column | str, heading: Column | str) -> Column:
+    """What ``lexical_score`` asks of a row: struct(flat, low, head)."""
+    return F.struct(padded(hay).alias("flat"), F.lower(as_column(hay)).alias("low"), padded(heading).alias("head"))
+
+
+def lexical_score(terms: Column, scan: Column, phrase: Column) -> Column:
+    """0 without a whole-word hit, else min(.98, .45 + .35 coverage + .18 phrase + .12 heading), 4 places; ``scan`` is a ``scanned`` row."""
+    hit = lambda c: F.size(F.filter(terms, lambda t: F.contains(c, F.concat(F.lit(" "), t, F.lit(" ")))))
+    n = hit(scan["flat"])
+    raw = 0.45 + 0.35 * n / F.greatest(F.size(terms), F.lit(1)) + F.when(F.contains(scan["low"], F.lower(F.trim(phrase))), 0.18).otherwise(0.0) + F.when(hit(scan["head"]) > 0, 0.12).otherwise(0.0)
     return F.when(n > 0, F.round(F.least(F.lit(0.98), raw), 4)).otherwise(0.0)
 
 

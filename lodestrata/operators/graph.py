@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import relational as rel
+from .relational import cut
 
 # Edge policy.
 MIN_CONFIDENCE, GENERIC_MIN, HOP2_MIN = 0.20, 0.35, 0.30
@@ -17,14 +15,6 @@ GENERIC = ("related_to", "references", "mentions")
 STRONG = ("strong", "repaired")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written once to the reliable checkpoint folder, so an iteration's plan does not grow."""
-    sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lodestrata-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def undirected(edges: DataFrame, a: str, b: str, weight: str) -> DataFrame:
     """Repeat relations of a pair folded into one edge (u < v) with summed weight."""
     e = edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), F.col(weight).alias("w"))

@@ -40,13 +40,14 @@ def anchor_score(query: Column, label: Column, document: bool = False) -> Column
     return F.when(q == n, 1.0).when(inside, 0.95).when((F.size(qt) >= 2) & pad(n).contains(pad(q)), 0.88).when(shared >= 2, F.least(F.lit(0.86), 0.55 + 0.25 * cov + 0.10 * qcov)).otherwise(0.0)
 
 
-def lane_grounding(body: Column, phrases: Column, terms: Column) -> Column:
-    """2 + coverage if a phrase of two tokens or more occurs, else coverage; halved for a two-token or numbered first phrase without a match."""
-    flat = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), F.lit(" "))
-    hay = flat(body)
-    cov = F.size(F.filter(terms, lambda t: hay.contains(flat(t)))) / F.greatest(F.size(terms), F.lit(1))
-    exact = F.exists(phrases, lambda p: flat(p).rlike("^ [^ ]+ [^ ]") & hay.contains(flat(p)))
-    first = flat(F.get(phrases, F.lit(0)))
+def lane_grounding(hay: Column, phrases: Column, terms: Column) -> Column:
+    """2 + coverage if a phrase of two tokens or more occurs, else coverage; halved for a two-token or numbered first phrase without a match.
+
+    The text, the phrases and the terms are ``padded``, each once.
+    """
+    cov = F.size(F.filter(terms, lambda t: F.contains(hay, t))) / F.greatest(F.size(terms), F.lit(1))
+    exact = F.exists(phrases, lambda p: p.rlike("^ [^ ]+ [^ ]") & F.contains(hay, p))
+    first = F.get(phrases, F.lit(0))
     weak = first.rlike("^ [^ ]+ [^ ]+ $") | first.rlike("[0-9]")
     return F.when(exact, 2 + cov).when(F.coalesce(weak, F.lit(False)), cov / 2).otherwise(cov)
 

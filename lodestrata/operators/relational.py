@@ -2,11 +2,47 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: What a slot is thought to read at once.
+SPLIT_BYTES = 64 << 20
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder that spark.checkpoint.dir names; lineage ends there.
+
+    Without that setting only a local master may go on, with a folder of its own: a cluster's
+    executors could not see it.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="lodestrata-checkpoints-")
+        sc.setCheckpointDir(shared)
+    return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small scan dealt to all slots; an input that fills them stays where it is.
+
+    A table of a few row groups is read by as many tasks, however many slots there are. The size
+    is the plan's own estimate, so nothing runs.
+    """
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(slots) if size < slots * SPLIT_BYTES else df
+
+
 def ranked(df: DataFrame, keys: list, order: list, name: str = "rank") -> DataFrame:
     """Row number within keys by a total order."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))

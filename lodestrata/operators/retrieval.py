@@ -2,45 +2,143 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import relational as rel
+from .relational import cut, spread
 
-#: Most rows of query terms or query vectors that are broadcast (a few MB); above it the sides are shuffled.
+#: Most rows, and bytes, of query terms or query vectors that are broadcast; above them sides are shuffled or taken in blocks.
 MOST_BROADCAST = 100_000
+MOST_BYTES = 64 << 20
+#: Scores that a task holds at once (8 bytes each).
+SCORES = 4_000_000
+
+
+def weighed(df: DataFrame, most: int) -> tuple[int, int]:
+    """Rows, up to ``most`` + 1, and the bytes of their values as text."""
+    row = df.limit(most + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return row[0], row[1] or 0
 
 
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """Broadcast the side if it is proven small, else leave the choice to the planner."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """Broadcast the side if its rows and bytes are proven small, else leave the choice to the planner."""
+    rows, size = weighed(df, most)
+    return F.broadcast(df) if rows <= most and size <= MOST_BYTES else df
+
+
+def in_blocks(queries: DataFrame, query_id: str, search) -> DataFrame:
+    """``search(block)`` of a bounded part of the queries, over all queries.
+
+    Queries that fit one broadcast go at once; more are dealt by a hash of their id into blocks
+    that fit, and each block's answers are written before the next begins.
+    """
+    rows, size = weighed(queries, MOST_BROADCAST)
+    if rows <= MOST_BROADCAST and size <= MOST_BYTES:
+        return search(queries)
+    queries = cut(queries)
+    rows, size = queries.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    blocks = int(max(rows / MOST_BROADCAST, size / MOST_BYTES) * 1.5) + 1
+    return reduce(DataFrame.union, [cut(search(queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i))) for i in range(blocks)])
+
+
+def against_all(docs: DataFrame, id_col: str, queries: DataFrame, query_id: str, bound: Column, score, least: float) -> DataFrame:
+    """(id_col, query_id, score) with score above ``least``: a stated query set against all rows, without a shuffle.
 
+    The queries of a block ride along with every row as one array; what ``bound`` makes of a row
+    is made once for all of them, and ``score(bound, query)`` sees both.
+    """
+
+    def search(block: DataFrame) -> DataFrame:
+        one = F.broadcast(block.agg(F.collect_list(F.struct("*")).alias("_q")))
+        made = F.transform(F.array(bound), lambda b: F.filter(F.transform("_q", lambda q: F.struct(q[query_id].alias(query_id), score(b, q).alias("score"))), lambda s: s["score"] > least))[0]
+        return spread(docs).crossJoin(one).select(id_col, F.inline(made))  # one row on the right
+
+    return in_blocks(queries, query_id, search)
+
+
+class Best:
+    """The k best (score, id) of each query so far; ties go to the smaller id."""
 
-def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(id, term, tf)."""
-    return docs.select(F.col(id_col), F.explode(tokens).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    def __init__(self, k: int):
+        self.k, self.query, self.id, self.score = k, np.zeros(0, np.int64), None, np.zeros(0)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores (query, row), -inf where a row is no answer."""
+        n = scores.shape[1]
+        least = np.partition(scores, n - self.k, axis=1)[:, n - self.k, None] if n > self.k else -np.inf
+        q, r = np.nonzero((scores >= least) & (scores > -np.inf))
+        query, score, id_ = np.concatenate([self.query, q]), np.concatenate([self.score, scores[q, r]]), ids[r]
+        id_ = id_ if self.id is None else np.concatenate([self.id, id_])
+        order = np.lexsort((np.unique(id_, return_inverse=True)[1], -score, query))
+        query = query[order]
+        start = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else query
+        place = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
+        kept = order[place < self.k]
+        self.query, self.score, self.id = query[place < self.k], score[kept], id_[kept]
+
+    def batch(self, names: np.ndarray, query_id: str, id_col: str):
+        if self.id is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(names[self.query]), pa.array(self.id), pa.array(self.score)], names=[query_id, id_col, "score"])
 
 
 def tfidf_search(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, tokens: Column, query_tokens: Column, k: int, k1: float | None = None, b: float = 0.0) -> DataFrame:
     """Top k per query by the sum of tf_q * tf_d * idf, idf = ln(1 + (N - df + .5) / (df + .5)); ties by document.
 
-    With ``k1`` the document side is saturated: tf (k1 + 1) / (tf + k1 (1 - b + b len / avg)). Query
-    terms prune the postings before document frequencies are counted, so only rows of terms that
-    some query asks for are shuffled.
+    With ``k1`` the document side is saturated: tf (k1 + 1) / (tf + k1 (1 - b + b len / avg)).
+    Queries are a bounded set, in blocks. Words are made once in each of two scans: one counts
+    the documents of each term asked for (combined before its shuffle), one scores. The second
+    looks the words of an Arrow batch up among the terms, adds up weights in a (query, document)
+    matrix and keeps each query's best k, so no (query, document) pair but those is shuffled.
     """
-    asked = queries.select(F.col(query_id), F.explode(query_tokens).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("tf_q"))
-    terms = small(asked.select("term").distinct())
-    hits = docs.select(F.col(doc_id), F.size(tokens).alias("_len"), F.explode(tokens).alias("term")).join(terms, "term", "left_semi")
-    hits = hits.groupBy(doc_id, "_len", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avg_len"))
-    idf = df.crossJoin(F.broadcast(total)).select("term", "avg_len", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row on the right
-    tf = F.col("tf") if k1 is None else F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / F.col("avg_len")))
-    weight = asked.join(idf, "term")
-    score = hits.join(small(weight), "term").groupBy(query_id, doc_id).agg(F.round(F.sum(F.col("tf_q") * tf * F.col("idf")), 6).alias("score"))
-    return rel.top_per_key(score, [query_id], [F.desc("score"), doc_id], k)
+    made = spread(docs).select(F.col(doc_id), tokens.alias("_t"))
+    asked = queries.select(query_id, F.explode(query_tokens).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("tf_q"))
+    n_docs, mean = made.agg(F.count("*"), F.lit(0.0) if k1 is None else F.avg(F.size("_t"))).first()
+    kinds = f"`{query_id}` {queries.schema[query_id].dataType.simpleString()}, `{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, score double"
+
+    def search(block: DataFrame) -> DataFrame:
+        terms = F.broadcast(block.select("term").distinct())  # a block is bounded
+        df = made.select(F.explode(F.array_distinct("_t")).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        idf = F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        w = block.join(df, "term").select(query_id, "term", (F.col("tf_q") * idf).alias("w")).toPandas()
+        ids, q = np.unique(w[query_id].to_numpy(), return_inverse=True)
+        vocabulary, t = np.unique(w["term"].to_numpy(object).astype(str), return_inverse=True)
+        order = np.argsort(t, kind="stable")
+        shared = block.sparkSession.sparkContext.broadcast((ids, vocabulary, np.searchsorted(t[order], np.arange(len(vocabulary) + 1)), q[order], w["w"].to_numpy(float)[order]))
+
+        def score(batches):
+            ids, vocabulary, at, q, weight = shared.value
+            best, names, rows = Best(k), pa.array(vocabulary, pa.string()), max(1, SCORES // max(1, len(ids)))
+            for whole in batches:
+                for i in range(0, whole.num_rows if len(ids) else 0, rows):
+                    part = whole.slice(i, rows)
+                    lists, n = part.column(1), part.num_rows
+                    term, doc = pc.index_in(lists.flatten(), value_set=names), pc.list_parent_indices(lists).to_numpy()
+                    there = term.is_valid().to_numpy(zero_copy_only=False)
+                    pair, tf = np.unique(doc[there].astype(np.int64) * len(vocabulary) + term.drop_null().to_numpy(), return_counts=True)
+                    doc, term = pair // len(vocabulary), pair % len(vocabulary)
+                    if k1 is not None:
+                        size = lists.value_lengths().fill_null(0).to_numpy()[doc]
+                        tf = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
+                    count = at[term + 1] - at[term]
+                    to = np.repeat(at[term] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+                    cell = q[to] * n + np.repeat(doc, count)
+                    total = np.bincount(cell, weights=weight[to] * np.repeat(tf, count), minlength=len(ids) * n)
+                    hit = np.zeros(len(ids) * n, bool)
+                    hit[cell] = True
+                    best.add(np.where(hit, np.round(total, 6), -np.inf).reshape(len(ids), n), part.column(0).to_numpy(zero_copy_only=False))
+            yield from best.batch(ids, query_id, doc_id)
+
+        return made.mapInArrow(score, kinds)
+
+    return rel.top_per_key(in_blocks(asked, query_id, search), [query_id], [F.desc("score"), doc_id], k)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -51,42 +149,39 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, id_col: str, query_id: str, vector: str, query_vector: str, k: int, where: Column | None = None) -> DataFrame:
-    """Exact k nearest by cosine: a bounded query set against all rows, in blocks.
+    """Exact k nearest by cosine, rounded to six places: a bounded query set against all rows, in blocks.
 
     A block of queries is broadcast to the scan, which keeps each partition's best k per query
-    before the shuffle; ties go to the smaller id. ``where`` prunes rows before scoring.
+    before the shuffle; ties go to the smaller id. ``where`` prunes rows before scoring. Rows and
+    queries whose vector is null, or of another length than most queries', are left out.
     """
     rows = vectors.where(where) if where is not None else vectors
-    q = queries.select(query_id, query_vector).toPandas()
-    if len(q) > MOST_BROADCAST:
-        raise ValueError(f"more than {MOST_BROADCAST} queries; call in blocks")
-    shared = vectors.sparkSession.sparkContext.broadcast(q)
-
-    def best(frames):
-        import numpy as np
-
-        ask = shared.value
-        m = np.array(ask[query_vector].tolist(), dtype=np.float64)
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        kept: dict = {}
-        for f in frames:
-            f = f[f[vector].notna()]
-            if not len(f):
-                continue
-            v = np.array(f[vector].tolist(), dtype=np.float64)
-            n = np.linalg.norm(v, axis=1, keepdims=True)
-            s = np.round(np.where(n > 0, v / np.maximum(n, 1e-300), 0) @ m.T, 6)
-            ids = f[id_col].to_numpy()
-            for j in range(len(m)):
-                score = np.concatenate([kept[j][0], s[:, j]]) if j in kept else s[:, j]
-                who = np.concatenate([kept[j][1], ids]) if j in kept else ids
-                top = np.lexsort((who, -score))[:k]
-                kept[j] = score[top], who[top]
-        for j, (score, who) in kept.items():
-            yield pd.DataFrame({query_id: ask[query_id].iloc[j], id_col: who, "score": score})
-
+    rows = rows.where(F.col(vector).isNotNull()).select(id_col, F.col(vector).cast("array<double>").alias("_v"))
+    asked = queries.where(F.col(query_vector).isNotNull()).select(query_id, F.col(query_vector).cast("array<double>").alias("_q"))
     kinds = f"`{query_id}` {queries.schema[query_id].dataType.simpleString()}, `{id_col}` {vectors.schema[id_col].dataType.simpleString()}, score double"
-    return rel.top_per_key(rows.select(id_col, vector).mapInPandas(best, kinds), [query_id], [F.desc("score"), id_col], k)
+
+    def search(block: DataFrame) -> DataFrame:
+        got = block.toPandas()
+        dim = int(got["_q"].map(len).mode().min()) if len(got) else 0
+        got = got[got["_q"].map(len) == dim]
+        ask = np.array(got["_q"].tolist(), np.float64).reshape(len(got), dim)
+        shared = block.sparkSession.sparkContext.broadcast((got[query_id].to_numpy(), ask / np.maximum(np.linalg.norm(ask, axis=1, keepdims=True), 1e-300)))
+
+        def best_of(batches):
+            names, m = shared.value
+            best, step = Best(k), max(1, SCORES // max(1, len(names)))
+            for whole in batches:
+                whole = whole.filter(pc.equal(pc.list_value_length(whole.column(1)), dim))
+                for i in range(0, whole.num_rows if len(names) else 0, step):
+                    part = whole.slice(i, step)
+                    v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim)
+                    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                    best.add(np.round(m @ v.T, 6), part.column(0).to_numpy(zero_copy_only=False))
+            yield from best.batch(names, query_id, id_col)
+
+        return rows.mapInArrow(best_of, kinds)
+
+    return rel.top_per_key(in_blocks(asked, query_id, search), [query_id], [F.desc("score"), id_col], k)
 
 
 def rrf(pools: DataFrame, query: str, item: str, lane: str, rank: str, weights: dict[str, float], k: int = 60, other: float = 0.8) -> DataFrame:

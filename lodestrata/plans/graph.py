@@ -9,14 +9,13 @@ from ..operators import graph as g
 from ..operators import relational as rel
 from .registry import Tables, query
 
-MENTIONS = "(SELECT DISTINCT l_orderkey AS chunk, l_partkey AS entity, l_discount AS conf FROM lineitem WHERE l_partkey < 400)"
+MENTIONS = "(SELECT DISTINCT l_orderkey AS chunk, l_partkey AS entity, l_discount AS conf FROM lineitem)"
 EDGES = f"(SELECT a.entity AS u, b.entity AS v, count(DISTINCT a.chunk) AS w FROM {MENTIONS} a JOIN {MENTIONS} b ON a.chunk = b.chunk AND a.entity < b.entity GROUP BY ALL)"
 BOTH = f"(SELECT u AS src, v AS dst, w FROM {EDGES} UNION ALL SELECT v, u, w FROM {EDGES})"
 PROFILE = "(SELECT p_partkey AS node, p_brand AS domain FROM part)"
 
 
 def mentions(t: Tables):
-    """All mentions. The SQL of ``MENTIONS`` holds the parts below 400 only, and gives the same rows where there are no others."""
     return t.lineitem.select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity"), F.col("l_discount").alias("conf")).distinct()
 
 
@@ -85,8 +84,8 @@ def hubs(t):
     return g.hubs(g.pagerank(edges(t), 10), 15).withColumn("rank", F.round("rank", 6))
 
 
-@query(sql=f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {BOTH} WHERE w >= 1 AND (src + dst) % 97 = 0), reach(node, c) AS (SELECT src, src FROM e UNION SELECT e.dst, reach.c FROM reach JOIN e ON e.src = reach.node)
-SELECT node, min(c) AS component FROM reach GROUP BY node""")
+@query(sql=f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {BOTH}), c(node, component) USING KEY (node) AS (SELECT DISTINCT src, src FROM e UNION
+SELECT e.dst, min(c.component) FROM c JOIN e ON e.src = c.node JOIN recurring.c AS o ON o.node = e.dst WHERE c.component < o.component GROUP BY e.dst) SELECT node, component FROM c""")
 def connected_components(t):
     return g.components(edges(t))
 
@@ -123,7 +122,7 @@ def frontier_nodes(t):
     return g.frontier(edges(t), profile(t), "node")
 
 
-@query(sql=f"""WITH e AS (SELECT * FROM {BOTH} WHERE (src + dst) % 41 = 0), p AS (SELECT DISTINCT src, least(a.domain, b.domain) AS a, greatest(a.domain, b.domain) AS b FROM e JOIN {PROFILE} a ON a.node = src JOIN {PROFILE} b ON b.node = dst WHERE a.domain <> b.domain),
+@query(sql=f"""WITH e AS (SELECT * FROM {BOTH}), p AS (SELECT DISTINCT src, least(a.domain, b.domain) AS a, greatest(a.domain, b.domain) AS b FROM e JOIN {PROFILE} a ON a.node = src JOIN {PROFILE} b ON b.node = dst WHERE a.domain <> b.domain),
 c AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL), d AS (SELECT DISTINCT domain FROM {PROFILE})
 SELECT x.domain AS a, y.domain AS b, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'DISCONNECTED' ELSE 'THIN' END AS gap FROM d x JOIN d y ON x.domain < y.domain LEFT JOIN c ON c.a = x.domain AND c.b = y.domain WHERE coalesce(n, 0) < 3""")
 def cluster_gaps(t):

@@ -8,6 +8,7 @@ from ..functions import text
 from ..operators import graph as g
 from ..operators import knowledge as k
 from ..operators import relational as rel
+from ..operators import retrieval as r
 from .graph import BOTH, EDGES, edges, mentions
 from .registry import query
 from .retrieval import dense, dense_sql
@@ -20,7 +21,7 @@ def entity_first_search(t):
     return k.entity_first(t.part.withColumnRenamed("p_partkey", "entity"), m, "p_name", "ring", 30)
 
 
-@query(sql="SELECT l_partkey, l_orderkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS r FROM lineitem WHERE l_partkey < 12) WHERE r <= 3 ORDER BY l_quantity DESC, l_orderkey, l_linenumber LIMIT 30")
+@query(sql="SELECT l_partkey, l_orderkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS r FROM lineitem WHERE l_partkey % 50 = 0) WHERE r <= 3 ORDER BY l_quantity DESC, l_orderkey, l_linenumber LIMIT 30")
 def facts_capped_per_entity(t):
     f = t.lineitem.where("l_partkey % 50 = 0")
     return k.capped_facts(f, "l_partkey", [F.desc("l_quantity"), "l_orderkey", "l_linenumber"], 30, 12).select("l_partkey", "l_orderkey", "l_quantity")
@@ -40,15 +41,13 @@ def fuzzy_anchor(t):
 
 
 @query(sql=f"""SELECT doc_id, item_id, round(CASE WHEN contains(hay, ' ' || phrase || ' ') THEN 2 + cov ELSE cov END, 6) AS grounding FROM (SELECT *, len(list_filter(terms, lambda t: contains(hay, ' ' || t || ' '))) / len(terms) AS cov FROM
- (SELECT doc_id, ' ' || {_FLAT.format('text')} || ' ' AS hay FROM documents), (SELECT item_id, array_to_string(list_slice(string_split({_FLAT.format('text')}, ' '), 1, 6), ' ') AS phrase, list_slice(list_distinct_sorted, 1, 8) AS terms FROM (SELECT item_id, text, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9]*'))) AS list_distinct_sorted FROM benchmark WHERE item_id < 4))) WHERE cov >= 0.75""")
+ (SELECT doc_id, ' ' || {_FLAT.format('text')} || ' ' AS hay FROM documents), (SELECT item_id, array_to_string(list_slice(string_split({_FLAT.format('text')}, ' '), 1, 6), ' ') AS phrase, list_slice(list_distinct_sorted, 1, 8) AS terms FROM (SELECT item_id, text, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9]*'))) AS list_distinct_sorted FROM benchmark))) WHERE cov >= 0.75""")
 def lane_grounding(t):
     """Grounding of all documents in a lane of each benchmark passage."""
     flat = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
-    lanes = t.benchmark.select("item_id", F.array(F.array_join(F.slice(F.split(flat, " "), 1, 6), " ")).alias("phrases"), F.slice(F.array_sort(F.array_distinct(text.words("text"))), 1, 8).alias("terms"))
-    x = t.documents.select("doc_id", "text").crossJoin(lanes)
-    ground = k.lane_grounding(F.col("text"), F.col("phrases"), F.col("terms"))
-    x = x.select("doc_id", "item_id", ground.alias("g"))
-    return x.where("g >= 0.75 and (g < 1.000001 or g >= 2.75)").select("doc_id", "item_id", F.round("g", 6).alias("grounding"))
+    lanes = t.benchmark.select("item_id", F.array(text.padded(F.array_join(F.slice(F.split(flat, " "), 1, 6), " "))).alias("phrases"), F.transform(F.slice(F.array_sort(F.array_distinct(text.words("text"))), 1, 8), text.padded).alias("terms"))
+    x = r.against_all(t.documents, "doc_id", lanes, "item_id", text.padded("text"), lambda hay, q: k.lane_grounding(hay, q["phrases"], q["terms"]), 0.749999)
+    return x.where("score < 1.000001 or score >= 2.75").select("doc_id", "item_id", F.round("score", 6).alias("grounding"))
 
 
 @query(sql="""SELECT e.user_id, e.ts AS cue_at, coalesce(arg_max(m.event_type || m.event_id, (m.ts, m.event_id)) FILTER (WHERE m.ts <= e.ts), arg_min(m.event_type || m.event_id, (m.ts, m.event_id))) AS subject FROM (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'purchase') e
@@ -65,7 +64,7 @@ def best_excerpt(t):
     return x.where("excerpt is not null")
 
 
-@query(sql=f"SELECT w, CASE WHEN bool_or(side = 1) AND bool_or(side = 2) THEN 'both' WHEN bool_or(side = 1) THEN 'entity' ELSE 'term' END AS side FROM (SELECT lower(trim(unnest(string_split(p_name, ' ')))) AS w, 1 AS side FROM part UNION ALL SELECT unnest({CONTENT}), 2 FROM documents WHERE doc_id < 50) GROUP BY w")
+@query(sql=f"SELECT w, CASE WHEN bool_or(side = 1) AND bool_or(side = 2) THEN 'both' WHEN bool_or(side = 1) THEN 'entity' ELSE 'term' END AS side FROM (SELECT lower(trim(unnest(string_split(p_name, ' ')))) AS w, 1 AS side FROM part UNION ALL SELECT unnest({CONTENT}), 2 FROM documents) GROUP BY w")
 def split_overlay(t):
     names = t.part.select(F.explode(F.split("p_name", " ")).alias("name"))
     return k.split_overlay(names, t.documents.select(F.explode(text.content_words("text")).alias("term")))
@@ -98,7 +97,7 @@ def supernode_graph(t):
     return edges(t).join(p("u"), "u").join(p("v"), "v").groupBy("a", "b").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
 
 
-@query(sql="SELECT d.o_custkey AS doc, o.o_custkey AS other, count(DISTINCT m.l_partkey) AS shared FROM orders d JOIN lineitem m ON m.l_orderkey = d.o_orderkey JOIN lineitem n ON n.l_partkey = m.l_partkey JOIN orders o ON o.o_orderkey = n.l_orderkey WHERE d.o_custkey < 10 AND o.o_custkey <> d.o_custkey GROUP BY ALL HAVING count(DISTINCT m.l_partkey) >= 2")
+@query(sql="SELECT d.o_custkey AS doc, o.o_custkey AS other, count(DISTINCT m.l_partkey) AS shared FROM orders d JOIN lineitem m ON m.l_orderkey = d.o_orderkey JOIN lineitem n ON n.l_partkey = m.l_partkey JOIN orders o ON o.o_orderkey = n.l_orderkey WHERE d.o_custkey % 50 = 0 AND o.o_custkey <> d.o_custkey GROUP BY ALL HAVING count(DISTINCT m.l_partkey) >= 2")
 def book_bridges(t):
     """Other documents (customers) that share two entities (parts) or more with a document."""
     m = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct()

@@ -24,7 +24,7 @@ def parent_eligibility(t):
     return t.documents.select("doc_id", ex.eligible("text", F.lit("body")).alias("reason"))
 
 
-@query(sql=f"""SELECT conv_id, l.e AS entity, l.overlap, l.overlap * l.m AS score FROM (SELECT conv_id, p_partkey AS e, p_size AS m, count(*) AS overlap, (SELECT 1) AS x FROM (SELECT conv_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]*'), lambda w: w NOT IN ({_STOP})))) AS w FROM (SELECT conv_id, 'small ring and steel bolt ' || conv_id AS text FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id < 6))) q
+@query(sql=f"""SELECT conv_id, l.e AS entity, l.overlap, l.overlap * l.m AS score FROM (SELECT conv_id, p_partkey AS e, p_size AS m, count(*) AS overlap, (SELECT 1) AS x FROM (SELECT conv_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]*'), lambda w: w NOT IN ({_STOP})))) AS w FROM (SELECT conv_id, 'small ring and steel bolt ' || conv_id AS text FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 50 = 0))) q
  JOIN (SELECT p_partkey, p_size, unnest(list_distinct(regexp_extract_all(lower(p_name), '[a-z][a-z0-9]*'))) AS w FROM part) n USING (w) GROUP BY ALL) l QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY l.overlap * l.m DESC, l.e) <= 20""")
 def query_entities(t):
     """Entities that a question names, by shared tokens and mentions."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text, web
 from ..operators import relational as rel
+from ..operators import retrieval as ret
 from .registry import query
 
 STOP = "(" + ", ".join(f"'{w}'" for w in text.CONTENT_STOP_WORDS) + ")"
@@ -193,19 +194,22 @@ def fact_quantities(t):
     return out.where("fact_value <> ''")
 
 
-@query(sql="SELECT i.item_id, d.doc_id, d.text = i.text AS equal FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark) i JOIN (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents) d ON contains(d.text, i.text)")
+@query(sql="SELECT i.item_id, d.doc_id, d.text = i.text AS equal FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark) i JOIN (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents) d ON i.text <> '' AND contains(d.text, i.text)")
 def contamination(t):
     """Documents that hold a benchmark passage, white space aside.
 
     Candidates share the passage's first eight words in a row, found by an equi-join on their
-    hash without the first and last of them; containment is then checked. Passages need four words.
+    hash without the first and last of them; containment is then checked. A passage of one or
+    two words may lie within words: such passages are held against all documents in blocks. An
+    empty passage is in no document.
     """
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     items = t.benchmark.select("item_id", flat("text").alias("passage"))
-    items = items.withColumn("n", F.least(F.size(F.split("passage", " ")), F.lit(8)))
+    items = items.where("passage <> ''").withColumn("n", F.least(F.size(F.split("passage", " ")), F.lit(8)))
+    short = items.where("n < 3").select("item_id", "passage")
     head = F.array_join(F.slice(F.split("passage", " "), 2, F.greatest(F.col("n") - 2, F.lit(1))), " ")
-    items = items.where("n >= 4").withColumn("key", F.xxhash64(head, "n"))
-    sizes = [r[0] for r in items.select("n").distinct().collect()]  # at most five values
+    items = items.where("n >= 3").withColumn("key", F.xxhash64(head, "n"))
+    sizes = [r[0] for r in items.select("n").distinct().collect()]  # at most six values
     docs = t.documents.select("doc_id", flat("text").alias("body"))
 
     def grams_of(n):
@@ -221,5 +225,6 @@ def contamination(t):
     none = F.array().cast("array<bigint>")
     grams = docs.select("doc_id", F.explode(F.array_distinct(F.concat(none, *[F.coalesce(k, none) for k in keys]))).alias("key"))
     hits = grams.join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    found = hits.join(docs, "doc_id").join(items, "item_id").where(F.contains("body", F.col("passage")))
-    return found.select("item_id", "doc_id", (F.col("body") == F.col("passage")).alias("equal"))
+    found = hits.join(docs, "doc_id").join(items, "item_id").where(F.contains("body", F.col("passage"))).select("item_id", "doc_id", "body", "passage")
+    within = ret.in_blocks(short, "item_id", lambda block: docs.join(F.broadcast(block), F.contains("body", F.col("passage"))).select("item_id", "doc_id", "body", "passage"))
+    return found.union(within).select("item_id", "doc_id", (F.col("body") == F.col("passage")).alias("equal"))
