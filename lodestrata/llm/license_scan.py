@@ -18,25 +18,77 @@ from .common import map_texts
 
 # Phrases of the base rules with their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-# Sentences of public licenses and notices, with labels.
+# Wordings of public licenses and notices, with labels; marks are blanks, as in the words of a text.
 TEMPLATES = (
     ("released under the mit license", "mit"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+        "and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+        "arising from out of or in connection with the software or the use or other dealings in the software",
+        "mit",
+    ),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("licensed under the apache license version 2 0", "apache"),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "apache",
+    ),
     ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache"),
     ("this work is licensed under the gnu general public license version 3", "gpl"),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty "
+        "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details "
+        "you should have received a copy of the gnu general public license along with this program",
+        "gpl",
+    ),
     ("under the terms of the gnu general public license as published by the free software foundation", "gpl"),
+    ("under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl"),
+    ("under the terms of the gnu affero general public license as published by the free software foundation", "agpl"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("licensed under a creative commons attribution 4 0 international license", "cc-by"),
     ("licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0"),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to "
+        "the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages "
+        "including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+        "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+        "arising in any way out of the use of this software even if advised of the possibility of such damage",
+        "bsd",
+    ),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that", "bsd"),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+        "isc",
+    ),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
+    (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        "zlib",
+    ),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("no part of this publication may be reproduced distributed or transmitted in any form or by any means", "all-rights-reserved"),
 )
 SHARE = 0.9
-#: Blocks are windows of this many words at every half of it; a template has at most half as many words.
-BLOCK = 64
+#: Blocks are windows of the text at every half of their length; a template is sought in the shortest that are twice as long as it.
+BLOCKS = (64, 256, 512)
+
+
+def block_of(template: str) -> int:
+    return next(b for b in BLOCKS if 2 * len(template.split()) <= b)
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -81,37 +133,52 @@ def document_frequency(df: DataFrame, text_col: str = "text", templates=TEMPLATE
 
 
 class Matcher:
+    """Templates and blocks as sets of tokens in one order, rarest first over the whole corpus."""
+
     def __init__(self, frequency: dict[str, int], templates=TEMPLATES, share: float = SHARE):
-        rank = {t.encode(): i for i, t in enumerate(sorted(frequency, key=lambda t: (frequency[t], t)))}
-        self.templates, self.prefix = [], {}
+        self.rank = {t.encode(): i for i, t in enumerate(sorted(frequency, key=lambda t: (frequency[t], t)))}
+        self.templates, self.prefix = [], {b: {} for b in BLOCKS}
         for i, (text, label) in enumerate(templates):
-            tokens = sorted({w.encode() for w in text.split()}, key=rank.__getitem__)
-            if len(text.split()) > BLOCK // 2:
-                raise ValueError(f"a template has more than {BLOCK // 2} words")
+            tokens = sorted({w.encode() for w in text.split()}, key=self.rank.__getitem__)
             need = math.ceil(share * len(tokens) - 1e-9)
             self.templates.append((frozenset(tokens), need, label))
             for pos, t in enumerate(tokens[: len(tokens) - need + 1]):
-                self.prefix.setdefault(t, []).append((i, pos))
-        self.keys = frozenset(self.prefix)
+                self.prefix[block_of(text)].setdefault(t, []).append((i, pos))
+        self.least = {b: min((self.templates[i][1] for at in p.values() for i, _ in at), default=0) for b, p in self.prefix.items()}
 
     def blocks(self, ws: list[bytes]) -> list[tuple[int, int, str, float]]:
         """(first word, words, label, containment) of each block and template that meet the threshold."""
-        if self.keys.isdisjoint(ws):
-            return []
-        out, half = [], BLOCK // 2
-        for start in range(0, max(1, len(ws) - half), half):
-            block = set(ws[start : start + BLOCK])
-            seen = set()
-            for t in self.keys & block:
-                for i, pos in self.prefix[t]:
-                    tokens, need, label = self.templates[i]
-                    if i in seen or len(block) < need or len(tokens) - pos < need:
-                        continue
-                    seen.add(i)
-                    if (n := len(tokens & block)) >= need:
-                        out.append((start, min(BLOCK, len(ws) - start), label, n / len(tokens)))
+        out = []
+        for size, prefix in self.prefix.items():
+            if prefix.keys().isdisjoint(ws):
+                continue
+            half = size // 2
+            for start in range(0, max(1, len(ws) - half), half):
+                block = set(ws[start : start + size])
+                if prefix.keys().isdisjoint(block):
+                    continue
+                mine = sorted(self.rank.keys() & block, key=self.rank.__getitem__)
+                out += [(start, min(size, len(ws) - start), label, c) for label, c in self._in_block(mine, block, prefix)] if len(mine) >= self.least[size] else []
         return sorted(out)
 
+    def _in_block(self, mine: list[bytes], block: set[bytes], prefix: dict):
+        """(label, containment); ``mine`` holds the block's template tokens in order.
+
+        Of a template's tokens before its first match at ``pos``, and of the block's before ``q``,
+        none can match, so no more than min(left in the template, left in the block) do.
+        """
+        seen = set()
+        for q, t in enumerate(mine):
+            for i, pos in prefix.get(t, ()):
+                if i in seen:
+                    continue
+                seen.add(i)
+                tokens, need, label = self.templates[i]
+                if len(mine) < need or min(len(tokens) - pos, len(mine) - q) < need:
+                    continue
+                if (n := len(tokens & block)) >= need:
+                    yield label, n / len(tokens)
+
 
 def scan(df: DataFrame, frequency: dict[str, int], id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, share: float = SHARE) -> DataFrame:
     """(id_col, n_words, places, blocks), one row per row.

@@ -21,19 +21,25 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, c
 
 _RULES = sorted(url_rules.SITE_RULES, key=lambda r: -len(r[1] + r[2]))
 _FITS = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in _RULES]
-_JUNK = " OR ".join("x LIKE '" + g.replace("_", r"\_").replace("*", "%") + r"' ESCAPE '\'" for g in url_rules.JUNK_GLOBS)
+_LIKE = [(c, g.replace("\\", r"\\").replace("_", r"\_").replace("%", r"\%").replace("*", "%").replace("?", "_")) for c, g in url_rules.JUNK_GLOBS]
+_JUNK = "CASE " + " ".join(f"WHEN x LIKE '{g}' ESCAPE '\\' THEN '{c}'" for c, g in _LIKE) + " END"
+_READ = _LOWER.format("path")
+for _c in [c for c in range(0x21, 0x7F) if c != 0x25] + [0x25]:
+    _READ = f"replace({_READ}, '%{_c:02x}', '{chr(_c).lower().replace(chr(39), chr(39) * 2)}')"
+_KEPT = "list_reduce(list_transform(list_filter(string_split(read, '/'), lambda s: s NOT IN ('', '.')), lambda s: [s]), lambda a, s: CASE WHEN s[1] = '..' THEN a[1:len(a) - 1] ELSE list_concat(a, s) END, []::VARCHAR[])"
 URL_FILTER = f"""SELECT page_id, host, path, CASE {' '.join(f"WHEN {f} THEN '{r[1] + r[2]}'" for f, r in zip(_FITS, _RULES, strict=True))} END AS rule,
-CASE {' '.join(f"WHEN {f} THEN '{r[0]}'" for f, r in zip(_FITS, _RULES, strict=True))} WHEN junk THEN 'block' ELSE 'allow' END AS verdict, junk
-FROM (SELECT *, ({_JUNK}) AS junk FROM (SELECT *, lower(host || path) AS x FROM (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
- FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages))))"""
+CASE {' '.join(f"WHEN {f} THEN '{r[0]}'" for f, r in zip(_FITS, _RULES, strict=True))} WHEN category IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, category
+FROM (SELECT *, {_JUNK} AS category FROM (SELECT *, array_to_string(list_concat([rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.')], {_KEPT}), '/') AS x FROM (SELECT *, {_READ} AS read
+ FROM (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+ FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages)))))"""
 
 _PHRASES = ", ".join(f"('{p}', '{label}')" for p, label in license_scan.PHRASES)
-_TEMPLATES = ", ".join(f"({i}, '{t}', '{label}')" for i, (t, label) in enumerate(license_scan.TEMPLATES))
+_TEMPLATES = ", ".join(f"({i}, '{t}', '{label}', {license_scan.block_of(t)})" for i, (t, label) in enumerate(license_scan.TEMPLATES))
 LICENSE_SCAN = rf"""WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p AS (SELECT doc_id, i - 1 AS i, label FROM (SELECT doc_id, w, phrase, label, unnest(range(1, len(w) + 1)) AS i FROM w, (VALUES {_PHRASES}) v(phrase, label)) WHERE array_to_string(w[i:i + len(string_split(phrase, ' ')) - 1], ' ') = phrase),
-t AS MATERIALIZED (SELECT id, label, list_distinct(string_split(body, ' ')) AS tokens FROM (VALUES {_TEMPLATES}) v(id, body, label)),
-b AS (SELECT doc_id, list_distinct(w[s + 1:s + {license_scan.BLOCK}]) AS block FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - {license_scan.BLOCK // 2}), {license_scan.BLOCK // 2})) AS s FROM w)),
-f AS MATERIALIZED (SELECT doc_id, label, len(list_intersect(block, tokens)) / len(tokens) AS c FROM b, t WHERE len(list_intersect(block, tokens)) >= {license_scan.SHARE} * len(tokens) - 0.000000001)
+t AS MATERIALIZED (SELECT label, size, list_distinct(string_split(body, ' ')) AS tokens FROM (VALUES {_TEMPLATES}) v(id, body, label, size)),
+b AS (SELECT doc_id, size, list_distinct(w[s + 1:s + size]) AS block FROM (SELECT doc_id, w, size, unnest(range(0, greatest(1, len(w) - size // 2), size // 2)) AS s FROM w, (SELECT DISTINCT size FROM t))),
+f AS MATERIALIZED (SELECT doc_id, label, len(list_intersect(block, tokens)) / len(tokens) AS c FROM b JOIN t USING (size) WHERE len(list_intersect(block, tokens)) >= {license_scan.SHARE} * len(tokens) - 0.000000001)
 SELECT doc_id, len(w)::BIGINT AS n_words, (SELECT count(*) FROM p WHERE p.doc_id = w.doc_id) AS n_base, (SELECT min(i) FROM p WHERE p.doc_id = w.doc_id) AS first_word, (SELECT max(i) FROM p WHERE p.doc_id = w.doc_id) AS last_word,
 coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM p WHERE p.doc_id = w.doc_id), '') AS base_labels,
 coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM (SELECT doc_id, label FROM p UNION ALL SELECT doc_id, label FROM f) u WHERE u.doc_id = w.doc_id), '') AS labels,

@@ -17,7 +17,15 @@ from .common import map_texts
 
 # Rules by host and path, and rules of the method's own.
 SITE_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-JUNK_GLOBS = ("*cheap-pills*", "*spam-farm*", "*casino*", "*viagra*", "*porn*", "*payday-loan*", "*.exe", "*/wp-login.php*")
+JUNK_GLOBS = (
+    ("adult", "*adult-*"), ("adult", "*porn*"), ("adult", "*escort*"), ("adult", "*sex-chat*"), ("adult", "*/nsfw/*"),
+    ("gambling", "*casino*"), ("gambling", "*free-bets*"), ("gambling", "*online-poker*"), ("gambling", "*sports-betting*"), ("gambling", "*jackpot*"),
+    ("pharma", "*cheap-pills*"), ("pharma", "*viagra*"), ("pharma", "*cialis*"), ("pharma", "*online-pharmacy*"),
+    ("spam", "*spam-farm*"), ("spam", "*payday-loan*"), ("spam", "*link-farm*"), ("spam", "*free-followers*"), ("spam", "*replica-watch*"),
+    ("ads", "*ads-track*"), ("ads", "ads.*"), ("ads", "adserver.*"), ("ads", "*/adclick*"), ("ads", "*.doubleclick.*"),
+    ("download", "*.exe"), ("download", "*.msi"), ("download", "*.apk"), ("download", "*.iso"), ("download", "*/warez/*"), ("download", "*/keygen*"),
+    ("page", "*/wp-login.php*"), ("page", "*/wp-admin*"), ("page", "*/cgi-bin/*"), ("page", "*/signin"), ("page", "*/cart/checkout*"),
+)
 #: Stands between host and path in the canonical form; no character has this code.
 EDGE = 0x110000
 
@@ -31,6 +39,33 @@ def parts(url: str | None) -> tuple[str, str]:
     return re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]
 
 
+def canonical(host: str, path: str) -> str:
+    """Host without user, port and last dot, then the path, A-Z lower-cased: escapes of printable ASCII
+    read, empty and '.' segments dropped, '..' segments resolved; no slash at the end."""
+    host = re.sub(r":[0-9]*$", "", host.rpartition("@")[2]).rstrip(".")
+    path = re.sub("[A-Z]", lambda c: c[0].lower(), path)
+    path = re.sub("%(2[1-9a-f]|[3-6][0-9a-f]|7[0-9a-e])", lambda m: re.sub("[A-Z]", lambda c: c[0].lower(), chr(int(m[1], 16))), path)
+    kept: list[str] = []
+    for s in path.split("/"):
+        if s == "..":
+            kept[-1:] = []
+        elif s not in ("", "."):
+            kept.append(s)
+    return "/".join([host, *kept])
+
+
+def read_globs(spark, path: str, most: int = 100_000) -> tuple[tuple[str, str], ...]:
+    """Rules (category, glob) from text lines ``category glob``; blank lines and lines that begin with # are none.
+
+    The list is broadcast, so one of more than ``most`` rules raises ValueError.
+    """
+    line = F.trim("value")
+    rows = spark.read.text(path).where((line != "") & ~line.startswith("#")).select(F.split(line, r"\s+", 2).alias("r")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return tuple((r[0][0], r[0][1]) for r in rows if len(r[0]) == 2)
+
+
 class Globs:
     """An anchored automaton for sequences of codes, ``*`` (any run) and ``?`` (any one)."""
 
@@ -84,11 +119,12 @@ def _codes(s: str) -> list:
 
 
 def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", site_rules=SITE_RULES, junk=JUNK_GLOBS) -> DataFrame:
-    """(id_col, host, path, rule, verdict, junk) for every row.
+    """(id_col, host, path, rule, verdict, category) for every row.
 
     A site rule fits its host and all subdomains where the path starts with the rule's; the
-    longest that fits gives rule and verdict. Else the verdict is block where a junk glob matches
-    the canonical URL (host and path, lower-cased), allow otherwise. A null URL or one without
+    longest that fits gives rule and verdict (of equally long ones, the first listed). Else the
+    verdict is block where a junk glob matches the canonical URL, allow otherwise; category is
+    that of the first listed glob that matches, else null. A null URL or one without
     '://' has empty host and path and is allowed. Repeated rows and null ids stay, very long
     URLs are matched whole, an empty table gives no rows, other columns are ignored.
     """
@@ -97,23 +133,23 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", site_rul
 
     def make():
         site = Globs([["*", *_codes("." + host), EDGE, *_codes(path), "*"] for _, host, path in site_rules])
-        bad = Globs([[c if c in "*?" else ord(c) for c in g] for g in junk])
+        bad = Globs([[c if c in "*?" else ord(c) for c in g] for _, g in junk])
 
         def run(keys, texts):
             split = list(map(parts, texts))
-            canonical = [np.array(_codes("." + h) + [EDGE] + _codes(p), np.int64) for h, p in split]
-            hits = site.match(canonical)
-            worse = bad.match([np.array(_codes((h + p).lower()), np.int64) for h, p in split]).any(1)
+            hits = site.match([np.array(_codes("." + h) + [EDGE] + _codes(p), np.int64) for h, p in split])
+            worse = bad.match([np.array(_codes(canonical(h, p)), np.int64) for h, p in split])
             first = [next((i for i in order if row[i]), None) for row in hits]
+            what = [junk[int(row.argmax())][0] if row.any() else None for row in worse]
             return {
                 id_col: keys[0],
                 "host": [h for h, _ in split],
                 "path": [p for _, p in split],
                 "rule": [None if i is None else site_rules[i][1] + site_rules[i][2] for i in first],
-                "verdict": [site_rules[i][0] if i is not None else "block" if w else "allow" for i, w in zip(first, worse.tolist(), strict=True)],
-                "junk": worse.tolist(),
+                "verdict": [site_rules[i][0] if i is not None else "block" if w else "allow" for i, w in zip(first, what, strict=True)],
+                "category": what,
             }
 
         return run
 
-    return map_texts(df, [F.col(id_col)], url_col, make, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, junk boolean")
+    return map_texts(df, [F.col(id_col)], url_col, make, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, category string")

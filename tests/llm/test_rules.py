@@ -96,8 +96,20 @@ def test_url_rules(spark, docs):
     for r in got:
         host, path, rule, verdict = brute_url(urls[r.doc_id])
         assert (r.host, r.path, r.rule) == (host, path, rule)
-        assert r.verdict == (verdict or ("block" if r.junk else "allow"))
-    assert got[17].verdict == "block" and url_rules.judge(docs([]), "doc_id", "text").count() == 0
+        assert r.verdict == (verdict or ("block" if r.category else "allow"))
+    assert got[17].verdict == "block" and got[17].category == "spam" and url_rules.judge(docs([]), "doc_id", "text").count() == 0
+
+
+def test_canonical_urls(spark, docs, tmp_path):
+    of = lambda u: url_rules.canonical(*url_rules.parts(u))
+    assert of("http://u:p@Ads.X.com.:8080/a/./b//../%43asino/?q") == "ads.x.com/a/casino"
+    assert of("http://h.com/%2541/%c3%a9/../../../../z/") == "h.com/z" and of("http://h.com/%2541") == "h.com/%41" and of("x") == ""
+    (tmp_path / "rules.txt").write_text("# own list\n\nadult  *rude*\nads h?.net*\n")
+    rules = url_rules.read_globs(spark, str(tmp_path / "rules.txt"))
+    assert rules == (("adult", "*rude*"), ("ads", "h?.net*"))
+    urls = ["http://a.com/R%75DE", "http://h1.net", "http://h12.net", None, "http://a.com/R%75DE"]
+    got = url_rules.judge(docs([(None, u) for u in urls]), "doc_id", "text", (("allow", "a.com", "/"), ("block", "a.com", "/")), rules).collect()
+    assert [(r.rule, r.verdict, r.category) for r in got] == [("a.com/", "allow", "adult"), (None, "block", "ads"), (None, "allow", None), (None, "allow", None), ("a.com/", "allow", "adult")]
 
 
 def test_globs_against_fnmatch():
@@ -113,20 +125,26 @@ def test_globs_against_fnmatch():
 
 
 def test_license_scan(docs):
+    body = lambda part: max((t for t, x in license_scan.TEMPLATES if x == part), key=len)
     long = "filler " * 3000 + "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files" + " x" * 50
     texts = [None, "", "Released under the MIT License.", "GNU General Public License GNU general public-license", "cc by cc by", "Licensed under CC BY-NC 4.0.", "mit licenses", long, "released by mit under license the"]
-    df = docs(list(enumerate(texts)))
+    texts += ["intro " * 90 + body("bsd").replace(" ", "\n", 40) + " end" * 300, body("apache")[:400] + " and nothing else", body("gpl").replace("program", "library"), long, None]
+    texts += [" ".join(w for i, w in enumerate(body("mit").split()) if i % k) for k in (3, 9, 30)]
+    df = docs([*enumerate(texts), (None, "mit license")])
     rows = {r.doc_id: r for r in license_scan.scan(df, license_scan.document_frequency(df)).collect()}
     for i, t in enumerate(texts):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         want = sorted((j, label) for p, label in license_scan.PHRASES for j in range(len(w)) if w[j : j + len(p.split())] == p.split())
         assert rows[i].n_words == len(w) and [(p.word, p.label) for p in rows[i].places] == want
         found = set()
-        for s in range(0, max(1, len(w) - 32), 32):
-            block = set(w[s : s + 64])
-            found |= {(s, label) for text, label in license_scan.TEMPLATES if len(block & set(text.split())) >= 0.9 * len(set(text.split())) - 1e-9}
-        assert {(b.word, b.label) for b in rows[i].blocks} == found
+        for text, label in license_scan.TEMPLATES:
+            size, tokens = license_scan.block_of(text), set(text.split())
+            for s in range(0, max(1, len(w) - size // 2), size // 2):
+                if len(set(w[s : s + size]) & tokens) >= 0.9 * len(tokens) - 1e-9:
+                    found.add((s, min(size, len(w) - s), label))
+        assert {(b.word, b.words, b.label) for b in rows[i].blocks} == found
     assert "cc-by-nc" in {b.label for b in rows[5].blocks} and {b.label for b in rows[7].blocks} == {"mit"}
+    assert {"bsd"} <= {b.label for b in rows[9].blocks if b.words == 512} and not [b for b in rows[10].blocks if b.words > 64] and rows[None].places[0].label == "mit"
     assert license_scan.scan(docs([]), license_scan.document_frequency(docs([]))).count() == 0
 
 
