@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -28,12 +27,20 @@ def words_of(data: bytes) -> list[bytes]:
     return data.split()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a local master may go on without it, in a folder of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="lodestrata-checkpoints-")
+    return shared.rstrip("/")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in spark.checkpoint.dir; only where it is unset (tests) make one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "lodestrata-checkpoints"))
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -80,9 +87,26 @@ def map_texts(df: DataFrame, keys: list[Column], text: str, make: Callable[[], C
     return picked.mapInArrow(run, schema)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep an Arrow batch of whole texts to some tens of MB, for texts of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+#: A key is hot from this many rows, and from this share of all rows; so there are at most HOT_KEYS hot keys.
+HOT_ROWS, HOT_KEYS = 1_000, 2_000
+
+
+def left_join_skewed(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join with a side that holds each key once, where a key may hold any share of the left rows.
+
+    The hot keys' right rows, at most HOT_KEYS, are broadcast; rows with a null key go around the
+    shuffle; the rest is joined as usual. ``left`` is read three times: cut it first.
+    """
+    added = [c for c in right.columns if c not in keys]
+    none = F.lit(False)
+    for k in keys:
+        none = none | F.col(k).isNull()
+    known = left.where(~none)
+    count = known.groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot = cut(count.where(F.col("_n") >= F.greatest(F.lit(HOT_ROWS), F.lit(left.count() / HOT_KEYS))).select(*keys))
+    out = known.join(F.broadcast(hot), keys, "left_anti").join(right, keys, "left").select(*left.columns, *added)
+    out = out.union(known.join(F.broadcast(hot.join(right, keys, "left")), keys).select(*left.columns, *added))
+    return out.union(left.where(none).select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in added]))
 
 
 #: Small edge lists are kept in few files: one for about this many edges.

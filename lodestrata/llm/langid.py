@@ -72,26 +72,23 @@ class Model:
         return self.langs[first], min(1.0, max(0.0, margin)), margin < 0.1
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 240, max_langs: int = 120) -> Model:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 240, max_langs: int = 500) -> Model:
     """Fit on at most ``sample`` labelled documents, as many for each language (their whole texts).
 
     The sample is the documents with the smallest hashes of their ids. Feature vectors are made
     on the executors; four for each sampled document, of DIM half floats, reach the driver.
     Rows whose text or language is null are left out; no labelled row gives a model that says
-    ``und``. More than ``max_langs`` languages raise ValueError.
+    ``und``. Beyond ``max_langs`` languages those with the most documents (ties by name) are learned.
     """
     known = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("lang")).count().limit(max_langs + 1).collect()
-    if len(counts) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    counts = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return Model([], np.zeros((0, 0)), np.zeros((DIM, 0)), np.zeros(0))
     per_lang = max(2, sample // len(langs))
     key = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 40))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r["lang"], float(2 * per_lang / r["count"] + 1e-6)).otherwise(share)
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], float(2 * per_lang / r["count"] + 1e-6))])
+    share = F.coalesce(F.try_element_at(shares, F.col(lang_col)), F.lit(0.0))
     some = known.where(key < share * float(1 << 40))
 
     def make():
@@ -128,8 +125,8 @@ def _sample(text: str) -> list[bytes]:
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
     """(id_col, lang_pred, score, ambiguous), one row per row.
 
-    A text that is null or holds no letter is ``und`` with score 0. Repeated rows and null ids
-    stay as they are; an empty table gives no rows; other columns are ignored.
+    A text that is null or holds no letter is ``und`` with score 0. Of languages at equal loss the
+    first by name is predicted, with score 0. Repeated rows and null ids stay as they are; an empty table gives no rows; other columns are ignored.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[id_col].dataType.simpleString()

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, components, cut, map_texts, slices, words_of
+from .common import ascii_lower, components, cut, left_join_skewed, map_texts, slices, words_of
+
 
 def spare(k: int) -> int:
     """First-level parts beyond those needed: about as many of a set's parts may be sparse."""
@@ -455,6 +456,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = cross.where(F.col("turn") > FIRST).join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     label = _joined(label, _verified(rest, features, percent))
-    rows = docs.join(label, "node", "left").select("id", "n", F.coalesce("component", "node").alias("c"))
-    least = rows.where("c is not null").groupBy("c").agg(F.min("id").alias("component_id"))
-    return rows.join(least, "c", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    of = info.select("node", "rep").join(label, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
+    least = of.groupBy("c").agg(F.min("rep").alias("component_id"))
+    of = left_join_skewed(cut(of.select("node", "c")), cut(least), ["c"]).select("node", "component_id")
+    rows = left_join_skewed(docs.select("id", "n", "node"), cut(of), ["node"])
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

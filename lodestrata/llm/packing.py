@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 CAPACITIES = (512, 1024, 2048)
 #: Pieces that one packing group holds on average.
 GROUP = 40_000
+#: Equal rows that are numbered in one step.
+NUMBERED = 10_000
 
 
 def cost(capacity: int) -> float:
@@ -77,17 +79,18 @@ def best_fit(df: DataFrame, id_col: str = "doc_id", length: Column | None = None
     capacity and a rest. A null or empty text has length 0: it keeps one row with piece_len 0 and no bin. Repeated
     rows are packed each by itself; null ids are packed as rows; an empty table gives no rows.
 
-    Only ids and lengths are shuffled. Rows are dealt by a hash of id, row length and a
-    per-row value into groups of about ``group`` pieces, as many as the pieces ask for, so a
-    repeated id or length does not gather; each group is packed by itself and its bins are
-    named by (group, number).
+    Only ids and lengths are shuffled: equal (id, length) are counted, and each of them is dealt
+    by a hash of id, length and its number among its equals into groups of about ``group``
+    pieces, as many as the pieces ask for. So a repeated id or length does not gather, and the
+    bins, named by (group, number), are the same however the rows are partitioned. Equal lengths
+    are taken by id, then by that number.
     """
     from .common import cut
 
     top = capacities[-1]
     n = length if length is not None else F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))
-    items = cut(df.select(F.col(id_col).alias("id"), F.coalesce(n, F.lit(0)).cast("long").alias("n"), F.monotonically_increasing_id().alias("r")))
-    pieces = items.select(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / top)))).first()[0] or 0
+    equal = cut(df.select(F.col(id_col).alias("id"), F.coalesce(n, F.lit(0)).cast("long").alias("n")).groupBy("id", "n").agg(F.count("*").alias("rows")))
+    pieces = equal.select(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / top)) * F.col("rows"))).first()[0] or 0
     groups = max(1, -(-pieces // group))
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"g int, `{id_col}` {kind}, piece long, piece_start long, piece_len long, bin long, bin_pos long, bin_len long, bin_capacity long"
@@ -118,6 +121,8 @@ def best_fit(df: DataFrame, id_col: str = "doc_id", length: Column | None = None
         return pa.table([g, ids, pa.array(piece), pa.array(start), pa.array(size), pa.array(bins, pa.int64(), mask=none), pa.array(pos, pa.int64(), mask=none), take(held), take(cap)],
                         names=["g", id_col, "piece", "piece_start", "piece_len", "bin", "bin_pos", "bin_len", "bin_capacity"])
 
+    part = equal.select("id", "n", "rows", F.explode(F.sequence(F.lit(0), F.col("rows") - 1, F.lit(NUMBERED))).alias("s"))
+    items = part.select("id", "n", F.explode(F.sequence(F.col("s"), F.least(F.col("s") + NUMBERED, "rows") - 1)).alias("r"))
     dealt = items.select("id", "n", "r", F.pmod(F.xxhash64("id", "n", "r"), F.lit(groups)).cast("int").alias("g"))
     packed = dealt.groupBy("g").applyInArrow(run, schema)
     return packed.select(id_col, "piece", "piece_start", "piece_len", F.when(F.col("bin").isNotNull(), F.concat_ws("-", "g", "bin")).alias("bin_id"), "bin_pos", "bin_len", "bin_capacity")

@@ -109,7 +109,8 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", ma
     """Histogram of each language, summed over all its documents (null texts add nothing).
 
     Each slice of texts gives one row per language, so what is shuffled follows the number of
-    slices. More than ``max_langs`` languages raise ValueError.
+    slices. Beyond ``max_langs`` languages those with the most words (ties by name) have a
+    reference, and documents of others are held against the nearest one.
     """
 
     def make():
@@ -129,10 +130,8 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", ma
     rows = map_texts(df, [F.col(lang_col).cast("string")], text_col, make, "lang string, counts array<long>")
     size = CLASSES + len(set(COMMON)) + 1
     total = rows.groupBy("lang").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(size)])
-    got = total.limit(max_langs + 1).collect()
-    if len(got) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    return {r[0]: np.array(r[1:], np.float64) for r in got}
+    got = total.orderBy(F.desc(sum(F.col(f"c{i}") for i in range(CLASSES, size))), "lang").limit(max_langs).collect()
+    return {r[0]: np.array(r[1:], np.float64) for r in sorted(got, key=lambda r: r[0])}
 
 
 # Bounds of the method's own verdict.
@@ -171,8 +170,8 @@ def assess(df: DataFrame, refs: dict[str, np.ndarray], id_col: str = "doc_id", t
     base_failed: fewer than 10 words, or over 20 percent of words in repeated 5-word windows.
     Else a document of GUARD_WORDS words or more is rejected when the distance of its character
     classes or of its common words from the reference of its language is above its bound, and
-    so it is from the nearest reference (the only one asked without a known language); shorter
-    ones are kept. A null or empty text has no
+    so it is from the nearest reference (the only one asked without a known language; of equally
+    near ones, the first by name); shorter ones are kept. A null or empty text has no
     words and fails. An empty table gives no rows; repeated rows and null ids stay; other
     columns are ignored.
     """

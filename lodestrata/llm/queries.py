@@ -7,12 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, license_scan, ngram_join, packing, pii, quality, secrets, url_rules, vector_join
-from .common import bounded_batches
 from .oracles import ORACLES  # noqa: F401
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -79,7 +77,6 @@ def op7_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
     return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 

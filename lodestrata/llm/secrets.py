@@ -39,12 +39,25 @@ def symbols(s: str) -> list[str]:
     return [c if i < _LITERAL and c in "AKIghposxbklveyJz_-" else _CLASS.get(c, c) for i, c in enumerate(s)] + ["$"]
 
 
+# Words that ordinary identifiers, slugs and paths are made of.
+WORDS = (
+    "about account action admin album archive article assets author backup blog build cache category chapter client code comment config contact content "
+    "data default design detail docs download draft editor entry error event example export feature field file filter forum game group guide handler help "
+    "history home html image import index info input item label language layout library link list local login long main manager map media member menu message "
+    "model module music name news note number object order output page part path photo player plugin post price product profile project public query question "
+    "record report request result review sample schedule school script search section server service session setting short site some source spring start state "
+    "static status stock story street string style subject summary support system table target task team template test text thread title topic train travel "
+    "update upload user value version video view weather week window winter word work world write year"
+).split()
+
+
 def labelled_credentials(seed: int = 7, each: int = 120) -> list[tuple[str, str]]:
     """(label, string) in the documented shapes of well-known credentials, and of ordinary strings."""
     rng = random.Random(seed)
     up, low, dig, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
     run = lambda chars, a, b=None: "".join(rng.choice(chars) for _ in range(rng.randint(a, b or a)))
-    word = lambda: rng.choice(low).upper() * rng.randint(0, 1) + "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    plain = lambda: rng.choice(WORDS) if rng.random() < 0.6 else "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    word = lambda: plain().capitalize() if rng.random() < 0.3 else plain()
     shapes = {
         "cloud_key": lambda: "AKIA" + run(up + "234567", 16),
         "hex_key": lambda: run(hexa, rng.choice([32, 40, 64])),
@@ -56,14 +69,20 @@ def labelled_credentials(seed: int = 7, each: int = 120) -> list[tuple[str, str]
         "": lambda: rng.choice([
             lambda: "-".join(word() for _ in range(rng.randint(3, 6))) + rng.choice(["", "-" + run(dig, 1, 4)]),
             lambda: "_".join(word() for _ in range(rng.randint(3, 6))) + rng.choice(["", run(dig, 1, 3)]),
-            lambda: "/".join(word() for _ in range(rng.randint(3, 5))) + "/" + run(dig, 1, 6),
+            lambda: "/".join(word() for _ in range(rng.randint(2, 6))) + rng.choice(["", "/" + run(dig, 1, 6), "-" + run(dig, 1, 4)]),
+            lambda: "/".join(rng.choice("abcdt") if rng.random() < 0.2 else word() for _ in range(rng.randint(3, 6))) + "/" + run(dig, 1, 8),
+            lambda: "/".join("-".join(word() for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 4))) + "/" + run(dig, 4) + "/" + run(dig, 2),
+            lambda: rng.choice("/-_").join(rng.choice([word, word, word, lambda: run(dig, 1, 4), lambda: word() + run(dig, 1, 2)])() for _ in range(rng.randint(3, 6))),
+            lambda: "/".join(rng.choice("-_").join(word() + rng.choice(["", "", run(dig, 1, 2)]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(2, 5))),
+            lambda: "=".join(rng.choice([word(), run(dig, 1, 5)]) for _ in range(rng.randint(2, 5))),
+            lambda: "-".join(run(hexa, n) for n in (8, 4, 4, 4, 12)),
             lambda: run(dig, 4) + "-" + run(dig, 2) + "-" + run(dig, 2) + "T" + run(dig, 6) + "Z",
             lambda: "".join(word() for _ in range(rng.randint(3, 6))) + run(dig, 1, 4),
             lambda: run(dig, 16, 24),
             lambda: "=" * rng.randint(8, 40) + run(dig, 0, 2) + "-" * rng.randint(8, 40),
         ])(),
     }
-    return [(label, make()) for label, make in shapes.items() for _ in range(each * (4 if not label else 1))]
+    return [(label, make()) for label, make in shapes.items() for _ in range(each * (8 if not label else 1))]
 
 
 class Automaton:
@@ -209,11 +228,18 @@ def inferred_spans(text: str, automata: dict[str, Automaton]) -> list[tuple[int,
     return out
 
 
+def spans_of(text: str | None, automata: dict[str, Automaton]) -> list[tuple[int, int, str]]:
+    """Base spans, and inferred ones but those that lie within a base span and so tell nothing new."""
+    base = base_spans(text) if text else []
+    return base + [s for s in inferred_spans(text, automata) if not any(a <= s[0] and s[1] <= b for a, b, _ in base)] if text else []
+
+
 def scan(df: DataFrame, automata: dict[str, Automaton], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, spans array<struct<start, end, kind>>), one row per row.
 
     Spans are in code points, the end exclusive, ordered by start, then base kinds as listed,
-    then inferred labels. A null or empty text has none; repeated rows and null ids stay; an
+    then inferred labels (of equally likely ones, the first by name); inferred spans within a base
+    span are left out. A null or empty text has none; repeated rows and null ids stay; an
     empty table gives no rows; other columns are ignored.
     """
     shared = df.sparkSession.sparkContext.broadcast(automata)
@@ -223,7 +249,7 @@ def scan(df: DataFrame, automata: dict[str, Automaton], id_col: str = "doc_id",
         order = {k: i for i, k in enumerate([*BASE, *sorted(shared.value)])}
 
         def one(t):
-            found = base_spans(t) + inferred_spans(t, shared.value) if t else []
+            found = spans_of(t, shared.value)
             return [{"start": a, "end": b, "kind": k} for a, b, k in sorted(found, key=lambda s: (s[0], order[s[2]], s[1]))]
 
         def run(keys, texts):
@@ -244,7 +270,7 @@ def redact(df: DataFrame, automata: dict[str, Automaton], text_col: str = "text"
             if not t:
                 return t
             out, done = [], 0
-            for a, b, _ in sorted(base_spans(t) + inferred_spans(t, shared.value)):
+            for a, b, _ in sorted(spans_of(t, shared.value)):
                 if a >= done:
                     out += [t[done:a], mark]
                 done = max(done, b)

@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, left_join_skewed
 
 BLOCK_DIMS = 8
 #: Coordinates of a block that the grid uses.
 GRID_DIMS = 3
 #: Stored rows of a cell that one task compares with a batch of look-ups.
 CHUNK = 4096
+#: More blocks than a vector has; a block's name is its dimension times this, and its number.
+BLOCKS = 1 << 20
 #: Slack on the squared distance, above rounding errors of unit vectors in double precision.
 SLACK = 1e-9
 
@@ -32,14 +34,19 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def _exploded(batches, budget: float):
+def _budget(dim: int, cosine: float) -> float:
+    """Squared distance that a block may take: the whole over the number of blocks of this dimension."""
+    return (2 * (1 - cosine) + SLACK) / -(-dim // BLOCK_DIMS)
+
+
+def _exploded(batches, cosine: float):
     """Rows (block, cell, store, id, x) of unit vectors: one stored row and up to 2^GRID_DIMS look-ups for each block."""
-    r = float(np.sqrt(budget))
     for b in batches:
         lists = b.column(2)
         dims = lists.value_lengths().to_numpy()
         flat, ends = lists.flatten().to_numpy(), np.cumsum(dims)
         for dim in np.unique(dims):
+            r = float(np.sqrt(_budget(int(dim), cosine)))
             rows = np.flatnonzero(dims == dim)
             v = flat[(ends[rows] - dim)[:, None] + np.arange(dim)]
             v = v / np.abs(v).max(1, keepdims=True)
@@ -59,40 +66,24 @@ def _exploded(batches, budget: float):
                     for j in range(cell.shape[1]):
                         key = key * 4096 + cell[:, j] + 2048
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(1).take(pa.array(rows[who])), pa.array(np.full(len(who), int(dim) * 1024 + k)), pa.array(key), pa.array(np.full(len(who), store)), b.column(0).take(pa.array(rows[who])), pa.array(list(x[who]), pa.list_(pa.float64()))],
+                        [b.column(1).take(pa.array(rows[who])), pa.array(np.full(len(who), int(dim) * BLOCKS + k)), pa.array(key), pa.array(np.full(len(who), store)), b.column(0).take(pa.array(rows[who])), pa.array(list(x[who]), pa.list_(pa.float64()))],
                         names=["label", "block", "cell", "store", "id", "x"],
                     )
 
 
-def _budget(dim: str, cosine: float):
-    """Squared distance that a block may take: the whole over the number of blocks of this dimension."""
-    return F.lit(2 * (1 - cosine) + SLACK) / F.ceil(F.col(dim) / BLOCK_DIMS)
-
-
 def similar_pairs(v: DataFrame, cosine: float = 0.93) -> DataFrame:
     """Pairs (a, b), a < b, of (id, label, v array<double>) rows with equal labels and dimensions and cosine at or above the bound.
 
     A cell with more than CHUNK stored vectors is dealt out in chunks, each of which meets all the
     cell's look-ups; a task holds one chunk and one Arrow batch of look-ups at a time.
     """
-    dims = sorted(r[0] for r in v.select(F.size("v").alias("d")).distinct().limit(65).collect())
-    if len(dims) > 64:
-        raise ValueError("more than 64 different dimensions")
-    grid = None
-    for dim in dims:
-        budget = (2 * (1 - cosine) + SLACK) / -(-dim // BLOCK_DIMS)
-        one = v.where(F.size("v") == dim).select("id", "label", "v")
-        part = one.mapInArrow(lambda it, budget=budget: _exploded(it, budget), f"label {v.schema['label'].dataType.simpleString()}, block long, cell long, store boolean, id long, x array<double>")
-        grid = part if grid is None else grid.union(part)
-    if grid is None:
-        return v.sparkSession.createDataFrame([], "a long, b long")
+    grid = v.select("id", "label", "v").mapInArrow(lambda it: _exploded(it, cosine), f"label {v.schema['label'].dataType.simpleString()}, block long, cell long, store boolean, id long, x array<double>")
     key = ["label", "block", "cell"]
     count = grid.where("store").groupBy(*key).count().where("count > 0").withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int"))
     placed = grid.join(count.select(*key, "chunks"), key)
     mine = F.when(F.col("store"), F.array(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
     placed = placed.withColumn("chunk", F.explode(mine))
     by = [*key, "chunk"]
-    limits = {dim: (2 * (1 - cosine) + SLACK) / -(-dim // BLOCK_DIMS) for dim in dims}
 
     def near(batches):
         at, ids, xs, norms = None, [], [], None
@@ -121,7 +112,7 @@ def similar_pairs(v: DataFrame, cosine: float = 0.93) -> DataFrame:
                 if norms is None:
                     ids, xs = [np.concatenate(ids)], [np.concatenate(xs)]
                     norms = (xs[0] ** 2).sum(1)
-                limit = limits[int(at[1]) // 1024] + SLACK
+                limit = _budget(int(at[1]) // BLOCKS, cosine) + SLACK
                 for i in range(0, len(look), 1024):
                     d = norms[None, :] + (p[i : i + 1024] ** 2).sum(1)[:, None] - 2 * (p[i : i + 1024] @ xs[0].T)
                     r, c = np.nonzero(d <= limit)
@@ -152,16 +143,17 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     v = F.col(vector_col).cast("array<double>")
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False))
     fine &= F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = cut(df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("v")).withColumn("fine", fine))
-    groups = rows.where("fine").groupBy("label", "v").agg(F.min("id").alias("node"), F.countDistinct("id").alias("copies"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("v")).withColumn("fine", fine)
+    rows = cut(rows.withColumn("name", F.when(F.col("fine"), F.sha2(F.to_json(F.struct("label", "v")), 256))))
+    groups = rows.where("fine").groupBy("name", "label", "v").agg(F.min("id").alias("node"), F.countDistinct("id").alias("copies"))
     groups = cut(groups)
     pairs = cut(similar_pairs(groups.select(F.col("node").alias("id"), "label", "v"), cosine))
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = both.join(groups.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
     label = components(pairs, "a", "b")
     node = groups.join(links.withColumnRenamed("a", "node"), "node", "left").join(label, "node", "left")
-    node = node.select("label", "v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    joined = rows.where("fine").join(node, ["label", "v"]).select("id", "n_links", "component_id")
+    node = node.select("name", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    joined = left_join_skewed(rows.where("fine").select("id", "name"), cut(node), ["name"]).select("id", "n_links", "component_id")
     alone = rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = joined.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

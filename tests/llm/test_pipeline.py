@@ -63,3 +63,10 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark, docs):
         corpus_pipeline.pack_sequences(spark, table, "").count()
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs(rows), "").collect()}
     assert 3 in kept and 4 not in kept and {1, 2, 6} <= kept
+
+
+def test_duplicates_go_by_row(spark, docs):
+    a, b = "the quick brown fox jumps over a lazy dog", "while seven wizards brew strong tea near the old stone bridge"
+    rows = [(1, a, "en"), (3, a, "en"), (3, b, "en"), (3, b, "en"), (None, a, "en"), (None, "something else that nobody said before", "en"), (7, None, "en"), (7, None, "en"), (8, "", "en")]
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs(rows), "").collect()), key=str)
+    assert got == sorted([(1, a), (3, b), (None, rows[5][1]), (7, None), (8, "")], key=str)

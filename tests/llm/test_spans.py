@@ -60,7 +60,8 @@ def test_inferred_formats_and_ordinary_strings():
     hits = {}
     for label, s in fresh:
         hits.setdefault(label, []).append(bool(secrets.inferred_spans(f"see {s} there", automata)))
-    assert sum(hits.pop("")) <= 3
+    ordinary = hits.pop("")
+    assert sum(ordinary) / len(ordinary) <= 3 / 160
     assert all(sum(v) / len(v) >= 0.9 for v in hits.values()), {k: sum(v) / len(v) for k, v in hits.items()}
 
 
