@@ -39,4 +39,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import audit, documents, graph, knowledge, olap, planning, retrieval, streams, texts  # noqa: E402, F401
+from . import audit, documents, graph, hydrate, knowledge, olap, planning, ranking, retrieval, streams, texts, walks  # noqa: E402, F401
