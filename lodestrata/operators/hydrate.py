@@ -72,7 +72,7 @@ def merge_by_parent(pool: DataFrame, query: str, score: str) -> DataFrame:
     return out.select(query, "corpus", "parent", "b.chunk", "b.is_summary", "score", "retrievers", "n")
 
 
-def dedupe_lane_documents(ranked: DataFrame, query: str, rank: str, doc: str, grounding: str, least: float = 0.55) -> DataFrame:
+def dedupe_lane_documents(ranked: DataFrame, query: str, rank: str, doc: str, grounding: str, least: float = 0.75) -> DataFrame:
     """Of finalists of one document that ground the same set of lanes only the best ranked, holding the lanes of all.
 
     ``grounding`` maps lanes to scores; lanes count from ``least``. Rows without a document or without a lane stay.

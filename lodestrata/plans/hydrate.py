@@ -84,7 +84,7 @@ FINAL = f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 @query(sql=f"""SELECT query_id, chunk, lanes FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc, lanes ORDER BY rank) AS r FROM (SELECT *, CASE WHEN l_partkey % 2 = 0 THEN 'a' || CASE WHEN n > 2 THEN ',b' ELSE '' END ELSE CASE WHEN n > 2 THEN 'b' ELSE '' END END AS lanes FROM {FINAL})) WHERE lanes = '' OR r = 1""")
 def lane_document_dedupe(t):
     """One finalist for each document and set of lanes."""
-    g = F.create_map(F.lit("a"), F.when(F.col("l_partkey") % 2 == 0, 0.9).otherwise(0.1), F.lit("b"), F.when(F.col("n") > 2, 0.7).otherwise(0.2))
+    g = F.create_map(F.lit("a"), F.when(F.col("l_partkey") % 2 == 0, 0.9).otherwise(0.1), F.lit("b"), F.when(F.col("n") > 2, 0.8).otherwise(0.2))
     return h.dedupe_lane_documents(_finalists(t).withColumn("g", g), "query_id", "rank", "doc", "g").select("query_id", "chunk", "lanes")
 
 
