@@ -62,7 +62,7 @@ def split_long_lines(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("short", T.StringType()), T.StructField("long", T.StringType())])))
 def abbreviations(texts: pd.Series) -> pd.Series:
-    """``long form (SF)`` pairs: the letters of SF found from right to left in the words before it (Schwartz, Hearst)."""
+    """``long form (SF)`` and ``SF (long form)`` pairs: the letters of SF found from right to left in the words beside it (Schwartz, Hearst)."""
 
     def long_of(short, before):
         s, i = len(short) - 1, len(before) - 1
@@ -83,6 +83,10 @@ def abbreviations(texts: pd.Series) -> pd.Series:
             found = long_of(m[1], " ".join(words[-most:]))
             if found and len(found) > len(m[1]):
                 out.setdefault(m[1], found)
+        for m in re.finditer(r"\b([A-Z][A-Za-z0-9-]{1,9})\s*\(([A-Za-z][^()]{2,60})\)", t or ""):
+            rest = iter(reversed(m[2].lower()))
+            if all(c in rest for c in reversed(m[1].lower()) if c.isalnum()) and len(m[2].strip()) > len(m[1]):
+                out.setdefault(m[1], " ".join(m[2].split()))
         return [{"short": k, "long": v} for k, v in out.items()]
 
     return texts.map(one)

@@ -104,7 +104,8 @@ def split_overlap(t):
     return n.join(s.groupBy("source").agg(F.count("*").alias("both")), "source", "left")
 
 
-@query()
+@query(sql="""SELECT source, sha256(string_agg(b || ':' || x || ':' || n, ',' ORDER BY b)) AS signature FROM (SELECT source, (h % 256)::INT AS b, sum(h)::DECIMAL(38,0) AS x, count(*) AS n FROM (
+ SELECT source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0)) || chr(31) || coalesce(n_chars::VARCHAR, chr(0))), 1, 15))::BIGINT AS h FROM documents) GROUP BY ALL) GROUP BY source""")
 def change_signature(t):
     return a.change_signature(t.documents, "doc_id", "n_chars", ["source"])
 

@@ -44,7 +44,9 @@ def lexical_topk(t):
     return lexical(t, 10)
 
 
-@query()
+@query(sql=f"""WITH w AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), d AS MATERIALIZED (SELECT doc_id, term, any_value(len(w)) AS size, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM w) GROUP BY doc_id, term),
+q AS (SELECT item_id, term, count(*) AS tf_q FROM (SELECT item_id, unnest({WORDS}) AS term FROM benchmark) GROUP BY ALL), i AS (SELECT term, ln(1 + ((SELECT n FROM s) - count(*) + 5e-1) / (count(*) + 5e-1)) AS idf FROM d GROUP BY term)
+SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, round(sum(tf_q * idf * (tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * size / (SELECT mean FROM s))))), 6) AS score FROM q JOIN d USING (term) JOIN i USING (term) GROUP BY ALL)) WHERE rank <= 10""")
 def bm25_topk(t):
     """The same search with saturation and length normalisation."""
     return r.tfidf_search(t.documents, t.benchmark.withColumnRenamed("text", "q"), "doc_id", "item_id", text.words("text"), text.words("q"), 10, k1=1.2, b=0.75)

@@ -103,7 +103,7 @@ def name_normal_forms(t):
     return t.customer.select("c_custkey", text.snake("c_name").alias("snake"), text.slug("c_name").alias("slug"), text.squash("c_name").alias("squash"))
 
 
-@query(sql="""SELECT p_partkey, array_to_string(list_slice(list_sort(list_distinct(list_filter([lower(n), upper(n), regexp_replace(n, '[\\s_\\-]+', ' ', 'g'), regexp_replace(n, '[\\s_\\-]+', '-', 'g'), regexp_replace(n, '[\\s_\\-]+', '_', 'g'), regexp_replace(n, '[\\s_\\-]+', '', 'g')], lambda x: x <> n))), 1, 5), '|') AS aliases FROM (SELECT p_partkey, trim(p_name) AS n FROM part)""")
+@query(sql="SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter([replace(n, ' ', '_'), replace(n, ' ', '-'), replace(n, '-', ' '), replace(n, '_', ' ')], lambda x: x <> n))), '|') AS aliases FROM (SELECT p_partkey, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS n FROM part)")
 def alias_variants(t):
     return t.part.select("p_partkey", F.array_join(text.alias_variants("p_name"), "|").alias("aliases"))
 
@@ -146,7 +146,11 @@ def query_ngrams(t):
     return t.benchmark.select("item_id", F.array_join(text.ngram_terms(text.words("text")), "|").alias("grams"))
 
 
-@query()
+_TERMS = "(SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]*')) AS term FROM benchmark)"
+_QSTOP = "(" + ", ".join(f"'{w}'" for w in text.QUERY_STOP_WORDS) + ")"
+
+
+@query(sql=f"SELECT item_id, term, list_reduce(list_transform(range(1, length(term) + 1), lambda i: ascii(substr(term, i, 1))::UBIGINT), lambda a, c: (xor(a, c) * 16777619) & 4294967295, 2166136261::UBIGINT)::BIGINT & 2147483647 AS token_id FROM {_TERMS} WHERE term NOT IN {_QSTOP}")
 def sparse_token_ids(t):
     w = t.benchmark.select("item_id", F.explode(text.query_terms("text")).alias("term"))
     return w.select("item_id", "term", text.fnv1a31("term").alias("token_id"))

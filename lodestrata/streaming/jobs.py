@@ -75,24 +75,50 @@ def lease_states(stream: DataFrame, max_attempts: int = 5) -> DataFrame:
     return stream.groupBy("job_id").applyInPandasWithState(step, "job_id long, status string, attempts int", "status string, attempts int", "update", "NoTimeout")
 
 
+#: Parts of a keyed table that are rewritten by themselves.
+BUCKETS = 64
+
+
+def _parts(spark, path: str, before: int | None = None) -> dict[int, str]:
+    """The newest folder of each bucket among epochs that were written whole (their _SUCCESS file is there)."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[int, str] = {}
+    if not fs.exists(root):
+        return out
+    epochs = sorted(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(root) if f.getPath().getName().startswith("epoch="))
+    for e in epochs:
+        folder = hadoop.Path(f"{path}/epoch={e}")
+        if (before is None or e < before) and fs.exists(hadoop.Path(folder, "_SUCCESS")):
+            out |= {int(f.getPath().getName().split("=")[1]): f"{folder}/{f.getPath().getName()}" for f in fs.listStatus(folder) if f.getPath().getName().startswith("_bucket=")}
+    return out
+
+
+def read_upserts(spark, path: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The table that ``upsert_sink`` keeps, as of its last whole epoch (or the last below ``before``); None before the first."""
+    parts = {b: p for b, p in _parts(spark, path, before).items() if buckets is None or b in buckets}
+    return spark.read.parquet(*parts.values()) if parts else None
+
+
 def upsert_sink(path: str, keys: list[str], newest: str):
-    """A foreachBatch function that keeps the newest row of each key in Parquet, one folder per epoch.
+    """A foreachBatch function that keeps the newest row of each key in Parquet.
 
-    An epoch's folder is written whole before the pointer row names it, so a batch that is run
-    again after a failure gives the same result.
+    Keys are dealt to BUCKETS parts. An epoch rewrites only the parts that its batch touches, into
+    a folder of its own, which counts once it is whole; readers take each part's newest. So a batch
+    that is run again after a failure reads what stood before it and gives the same result.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        known = None
-        for e in range(epoch - 1, -1, -1):
-            try:
-                known = spark.read.parquet(f"{path}/epoch={e}")
-                break
-            except Exception as err:
-                if "PATH_NOT_FOUND" not in str(err):
-                    raise
-        rows = rel.latest(batch, keys, [F.desc(newest)])
-        (rel.upsert(known, rows, keys) if known is not None else rows).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        rows = rel.latest(batch, keys, [F.desc(newest)]).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # BUCKETS at most
+        if not touched:
+            return
+        known = read_upserts(spark, path, epoch, touched)
+        if known is not None:
+            both = known.unionByName(rows.drop("_bucket"), allowMissingColumns=True)
+            rows = rel.latest(both, keys, [F.desc(newest)]).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/epoch={epoch}")
 
     return write

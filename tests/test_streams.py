@@ -43,7 +43,11 @@ def test_upsert_sink_is_idempotent(spark, tmp_path):
     write(a, 0)
     write(b, 1)
     write(b, 1)
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t/epoch=1")).collect()) == [(1, "a", 1), (2, "c", 2), (3, "d", 1)]
+    read = lambda: sorted(tuple(r) for r in jobs.read_upserts(spark, str(tmp_path / "t")).collect())
+    assert read() == [(1, "a", 1), (2, "c", 2), (3, "d", 1)]
+    write(spark.createDataFrame([(1, "old", 0)], "k long, v string, at long"), 2)
+    (tmp_path / "t/epoch=3/_bucket=0").mkdir(parents=True)  # begun, never whole
+    assert read() == [(1, "a", 1), (2, "c", 2), (3, "d", 1)]
 
 
 def test_queue(spark):
