@@ -46,6 +46,16 @@ def shingles(tokens: Column, k: int) -> Column:
     return F.transform(F.array(tokens), of)[0]  # bound once, not evaluated anew for each place
 
 
+def shingle_hashes(tokens: Column, k: int) -> Column:
+    """64-bit hashes of the k-grams, one for each place; fewer tokens than k give none."""
+
+    def of(h):
+        made = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+        return F.when(F.size(h) >= k, made).otherwise(F.array().cast("array<bigint>"))
+
+    return F.transform(F.array(F.transform(tokens, lambda w: F.xxhash64(w))), of)[0]  # bound once
+
+
 def ngram_terms(tokens: Column, most: int = 3, cap: int = 12, stop: tuple = tuple(QUERY_STOP_WORDS)) -> Column:
     """N-grams from the longest, none that begins or ends with a stop word, distinct, at most ``cap``."""
     def grams(n):

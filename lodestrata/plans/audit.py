@@ -18,14 +18,14 @@ pairs AS MATERIALIZED (SELECT a, b, round(c / (na + nb - c), 6) AS jaccard, roun
  FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id GROUP BY ALL) WHERE round(c / (na + nb - c), 6) >= 0.1 AND round(c / least(na, nb), 6) >= 0.5)"""
 
 
-def pairs(t: Tables):
-    s = t.documents.select("doc_id", F.explode(text.shingles(text.content_words("text"), 5)).alias("s"))
-    return a.near_duplicate_pairs(s, "doc_id", "s")
+def sets(t: Tables):
+    """Alike sets and members, and documents of each."""
+    return a.near_duplicate_sets(t.documents, "doc_id", text.shingle_hashes(text.content_words("text"), 5))
 
 
 @query(sql=f"WITH {_SETS} SELECT a, b, jaccard, containment, CASE WHEN containment >= 0.95 THEN 'certain' WHEN containment >= 0.65 THEN 'likely' ELSE 'review' END AS confidence FROM pairs")
 def near_dup_pairs(t):
-    return pairs(t)
+    return a.every_pair(*sets(t))
 
 
 CLUSTERS = f"""WITH RECURSIVE {_SETS}, e AS MATERIALIZED (SELECT a, b FROM pairs WHERE containment >= 0.65), d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach(node, c) AS (SELECT a, a FROM d UNION SELECT d.b, reach.c FROM reach JOIN d ON d.a = reach.node),
@@ -33,8 +33,10 @@ cl AS (SELECT node AS doc_id, min(c) AS cluster FROM reach GROUP BY node)"""
 
 
 def clusters(t: Tables):
-    e = pairs(t).where("containment >= 0.65").select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1).alias("w"))
-    return g.components(e).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    pairs, members = sets(t)
+    near = a.rated(pairs).where("containment >= 0.65").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    copies = members.where("doc <> rep").select(F.col("rep").alias("u"), F.col("doc").alias("v"))
+    return g.components(near.union(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
 
 
 @query(sql=f"{CLUSTERS} SELECT doc_id, cluster FROM cl")
@@ -168,3 +170,12 @@ SELECT k, count_if(c % 3 = 0) AS gain, round(count_if(c % 3 <> 0) / count(*), 6)
 def hop_pruning(t):
     x = t.lineitem.select((F.col("l_orderkey") % 40).alias("k"), F.col("l_partkey").alias("c"), "l_linenumber")
     return a.hop_pruning(x.where("l_linenumber = 1"), x.where("l_linenumber > 1"), "k", "c", x.where("c % 3 = 0"))
+
+
+@query(sql=f"""WITH {_SETS.split("n AS MATERIALIZED")[0].rstrip().rstrip(",")}, c AS MATERIALIZED (SELECT doc_id, list(s) AS s FROM s GROUP BY doc_id), k AS (SELECT d.doc_id, c.s FROM (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100) d JOIN c USING (doc_id)),
+p AS (SELECT i.doc_id AS doc, k.doc_id AS other, len(list_intersect(i.s, k.s)) AS m, len(i.s) AS n, len(k.s) AS q FROM c i, k WHERE i.doc_id % 50 = 0 AND i.doc_id <> k.doc_id)
+SELECT doc, other, containment, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY containment DESC, jaccard DESC, other) AS r FROM (SELECT doc, other, round(m / least(n, q), 6) AS containment, round(m / (n + q - m), 6) AS jaccard FROM p WHERE m > 0) WHERE containment >= 0.02) WHERE r <= 3""")
+def duplicate_probe(t):
+    """Incoming documents against the hundred longest."""
+    d = t.documents.withColumn("h", text.shingle_hashes(text.content_words("text"), 5))
+    return a.duplicate_probe(d.where("doc_id % 50 = 0"), d, "doc_id", "h", "n_chars", 100, 3, 0.02)
