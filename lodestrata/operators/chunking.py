@@ -124,3 +124,103 @@ def tree(parents: DataFrame, doc: str, parent: str, width: int = 20) -> DataFram
     level1 = x.groupBy(doc, "rollup").agg(F.count("*").alias("children"), F.min(parent).alias("first"), F.max(parent).alias("last")).select(doc, F.lit("rollup").alias("node_type"), F.col("rollup").alias("node_no"), "children", "first", "last")
     level0 = level1.groupBy(doc).agg(F.count("*").alias("children"), F.min("first").alias("first"), F.max("last").alias("last")).select(doc, F.lit("document").alias("node_type"), F.lit(0).cast("long").alias("node_no"), "children", "first", "last")
     return level1.unionByName(level0)
+
+
+_ITEM = re.compile(r"\s*(?:[-*+•]|\(?[0-9]{1,3}[.)]|\(?[A-Za-z][.)])\s+")
+
+
+def _filled(text: str) -> list[str]:
+    return [line for line in text.split("\n") if line.strip()]
+
+
+def is_list(text: str) -> bool:
+    """Three item marks or more, on half of the filled lines at least."""
+    lines = _filled(text)
+    marks = sum(bool(_ITEM.match(x)) for x in lines)
+    return marks >= 3 and 2 * marks >= len(lines)
+
+
+def is_line_structured(text: str) -> bool:
+    """Five filled lines or more with fewer ends of sentences than a third of them: logs, verse, transcripts."""
+    lines = _filled(text)
+    return len(lines) >= 5 and 3 * len(re.findall(r"[.!?](?=\s|$)", text)) < len(lines)
+
+
+def list_items(text: str) -> list[str]:
+    """Each item with the lines that go on with it; lines before the first item are a unit of their own."""
+    out: list[str] = []
+    for line in _filled(text):
+        if not out or _ITEM.match(line):
+            out.append(line)
+        else:
+            out[-1] += "\n" + line
+    return out
+
+
+def routed(text: str, target: int, most: int, count: Callable[[str], int] = count_tokens) -> list[str]:
+    """A block's pieces by its shape: whole list items, whole lines, or packed sentences of prose."""
+    if count(text) <= most:
+        return [text] if text.strip() else []
+    if is_list(text):
+        return pack(list_items(text), target, most, "\n", 0, count)
+    if is_line_structured(text):
+        return pack(_filled(text), target, most, "\n", 0, count)
+    return pack(sentence_pieces(text), target, most, " ", 0, count)
+
+
+def structured_pieces(df: DataFrame, id_col: str, text: str, target: int = CHILD_TARGET, most: int = 2 * CHILD_TARGET) -> DataFrame:
+    """(id, i, kind, piece, n_tokens) of each block (text between blank lines) of each document, by the block's shape."""
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for key, t in zip(f[id_col], f[text], strict=True):
+                i = 0
+                for block in re.split(r"\n\s*\n", t or ""):
+                    kind = "list" if is_list(block) else "lines" if is_line_structured(block) else "prose"
+                    for piece in routed(block, target, most):
+                        rows.append((key, i, kind, piece, count_tokens(piece)))
+                        i += 1
+            yield pd.DataFrame(rows, columns=[id_col, "i", "kind", "piece", "n_tokens"])
+
+    return df.select(id_col, text).mapInPandas(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, i long, kind string, piece string, n_tokens long")
+
+
+def page_blocks(pages: DataFrame, doc: str, page: str, text: str, target: int = PARENT_TARGET, least: int = PARENT_MIN, most: int = PARENT_MAX) -> DataFrame:
+    """(doc, block, label, first, last, n_tokens, text): consecutive pages joined into parents.
+
+    A block closes before a page that would carry it over ``most``, or over ``target`` once it has ``least``
+    tokens; a page over ``most`` is cut into blocks of its own; blank pages are left out. A document's
+    pages are one task's list, in order.
+    """
+
+    def join(g: pd.DataFrame) -> pd.DataFrame:
+        rows: list = []
+        held: list = []
+        size = 0
+
+        def close():
+            nonlocal held, size
+            if held:
+                rows.append((held[0][0], held[-1][0], "\n\n".join(t for _, t in held)))
+            held, size = [], 0
+
+        for n, t in zip(*(g.sort_values(page)[c] for c in (page, text)), strict=True):
+            t = (t or "").strip()
+            k = count_tokens(t)
+            if not t:
+                continue
+            if k > most:
+                close()
+                rows += [(n, n, p) for p in pack(sentence_pieces(t), target, most)]
+                continue
+            if held and (size + k > most or (size + k > target and size >= least)):
+                close()
+            held.append((n, t))
+            size += k
+        close()
+        label = [f"page_{a}" if a == b else f"pages_{a}-{b}" for a, b, _ in rows]
+        return pd.DataFrame({doc: [g[doc].iloc[0]] * len(rows), "block": range(len(rows)), "label": label, "first": [r[0] for r in rows], "last": [r[1] for r in rows], "n_tokens": [count_tokens(r[2]) for r in rows], "text": [r[2] for r in rows]})
+
+    kind = pages.schema[doc].dataType.simpleString()
+    return pages.select(doc, page, text).groupBy(doc).applyInPandas(join, f"`{doc}` {kind}, block long, label string, first long, last long, n_tokens long, text string")

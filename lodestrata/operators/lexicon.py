@@ -59,16 +59,18 @@ def materialize(names: DataFrame, links: DataFrame, separated: DataFrame, defini
     """(entry, canonical, aliases, support, confidence, definitions), one row for each group of keys.
 
     ``names`` is (name, support, confidence), one row an observation; ``definitions`` (name, text, score).
-    Keys join by strong links and trailing codes. The canonical name is no abbreviation before one,
-    then of the most words (up to eight), then the most supported, then the last by name; support is the sum,
+    Keys join by strong links and trailing codes. The canonical name has no trailing code before one, is no
+    abbreviation before one, then of the most words (up to eight), then the most supported, then the last by name; support is the sum,
     confidence the mean weighted by it; the other names are aliases, most supported first.
     """
     n = names.where(identity(F.col("name")) != "").select(identity(F.col("name")).alias("key"), F.trim(F.regexp_replace("name", r"\s+", " ")).alias("name"), "support", "confidence")
     n = g.cut(n.groupBy("key", "name").agg(F.sum("support").alias("support"), F.sum(F.col("support") * F.col("confidence")).alias("mass")))
-    e = strong_links(links, n, separated).union(trailing_codes(n)).distinct()
+    codes = g.cut(trailing_codes(n))
+    e = strong_links(links, n, separated).union(codes).distinct()
     root = g.components(e.select("u", "v", F.lit(1).alias("w"))).select(F.col("node").alias("key"), F.col("component").alias("entry"))
     n = g.cut(n.join(root, "key", "left").withColumn("entry", F.coalesce("entry", "key")))
-    order = F.struct((~is_abbreviation(F.col("name"))).cast("int"), F.least(F.size(F.split("key", " ")), F.lit(8)), "support", F.lower("name"), "name")
+    n = n.join(codes.select(F.col("v").alias("key"), F.lit(1).alias("_code")), "key", "left")
+    order = F.struct(F.col("_code").isNull().cast("int"), (~is_abbreviation(F.col("name"))).cast("int"), F.least(F.size(F.split("key", " ")), F.lit(8)), "support", F.lower("name"), "name")
     by = n.groupBy("entry").agg(F.max_by("name", order).alias("canonical"), F.sum("support").alias("support"), F.round(F.sum("mass") / F.sum("support"), 6).alias("confidence"))
     other = n.join(by.select("entry", "canonical"), "entry").where("name <> canonical")
     other = rel.top_per_key(other, ["entry"], [F.desc("support"), "name"], aliases, "_r").groupBy("entry").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "name"))), lambda x: x["name"]), "|").alias("aliases"))

@@ -39,4 +39,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import audit, documents, graph, hydrate, insight, knowledge, lexicon, olap, planning, ranking, retrieval, streams, texts, walks  # noqa: E402, F401
+from . import audit, documents, facets, graph, hydrate, insight, knowledge, knowledge_rows, lexicon, olap, planning, ranking, retrieval, services, streams, texts, walks  # noqa: E402, F401
