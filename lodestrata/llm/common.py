@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts handed to Python code together hold about this many characters at most (one text may be longer).
+#: Texts handed to Python code together hold about this many bytes at most (one text may be longer).
 SLICE_CHARS = 2_000_000
 
 #: The six bytes that separate words in the word contracts: space and \t\n\v\f\r.
@@ -50,16 +52,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Cut a batch into runs of rows with about SLICE_CHARS characters, with their texts as a list."""
-    texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) if t else 0
-        if size >= SLICE_CHARS:
-            yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
+    """Cut a batch into runs of rows with about SLICE_CHARS bytes of text, with their texts as a list.
+
+    Lengths are read from the batch, so only one run's texts are Python strings at a time.
+    """
+    column = batch.column(batch.schema.get_field_index(text))
+    for start, n in runs(column):
+        yield batch.slice(start, n), column.slice(start, n).to_pylist()
+
+
+def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, rows) of runs with about SLICE_CHARS bytes."""
+    if len(texts):
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.flatnonzero(np.diff(size // SLICE_CHARS)) + 1
+        for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(texts)], strict=True):
+            yield a, b - a
 
 
 def map_texts(df: DataFrame, keys: list[Column], text: str, make: Callable[[], Callable], schema: str) -> DataFrame:

@@ -10,12 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_texts
+from .common import map_texts, runs
 
 DIM = 4096
 #: ASCII bytes other than letters become spaces, so digits, symbols and layout say nothing.
@@ -147,9 +147,13 @@ def told(model: Model, spark, text_col: str, min_score: float) -> Column:
     """Whether a row's language is told with at least ``min_score``; evaluated beside the row, without a join."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def keep(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: (r := shared.value.predict(t))[0] != "und" and r[1] >= min_score).astype(bool)
+    def one(t):
+        lang, score, _ = shared.value.predict(t)
+        return lang != "und" and score >= min_score
+
+    @F.arrow_udf("boolean")
+    def keep(texts: pa.Array) -> pa.Array:
+        return pa.array([one(t) for a, n in runs(texts) for t in texts.slice(a, n).to_pylist()], pa.bool_())
 
     return keep(F.col(text_col).cast("string"))
 

@@ -39,6 +39,8 @@ SEEDS = 4
 #: A feature is frequent from this many sets; a task's share counts from LOCAL of its sets.
 FREQUENT = 24
 LOCAL = 3
+#: Features that a task counts at once.
+FLUSH = 1_000_000
 #: Longs of the parity sketch: each feature flips one of 64 * SKETCH bits, so sketches of two sets
 #: differ in no more bits than the sets differ in features.
 SKETCH = 32
@@ -162,7 +164,7 @@ def _scan(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                     seen.add(name)
                     wait.append(h)
                     size += len(h)
-                if size >= 4_000_000:
+                if size >= FLUSH:
                     yield flush()
         if wait:
             yield flush()
@@ -195,8 +197,8 @@ def _unpacked(bucket: int, block: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Signatures of one bucket on average, and of one step of the search for shared ones.
-BUCKET = 1_000_000
-STEP = 500_000
+BUCKET = 500_000
+STEP = 250_000
 
 
 def _hits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -336,6 +338,8 @@ def _may_link(percent: int):
 
 #: Members of one signature that one task compares with as many others.
 CHUNK = 1024
+#: Pairs of one signature whose bounds a task evaluates at once.
+PAIRS = 400_000
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
@@ -355,7 +359,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         run = np.cumsum(start) - 1
         ends = np.append(np.flatnonzero(start)[1:], len(sig))[run]
         later = ends - np.arange(len(sig)) - 1
-        step = max(1, 2_000_000 // max(1, int(later.max(initial=1))))
+        step = max(1, PAIRS // max(1, int(later.max(initial=1))))
         for at in range(0, len(sig), step):
             k = later[at : at + step]
             a = np.repeat(np.arange(at, at + len(k)), k)

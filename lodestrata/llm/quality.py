@@ -7,11 +7,11 @@ distance with the reference histogram of its language, summed over all documents
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, words_of
+from .common import map_texts, runs, words_of
 
 # Frequent function words of four languages.
 COMMON = (
@@ -195,9 +195,10 @@ def passes(refs: dict[str, np.ndarray], spark, text_col: str = "text", lang_col:
     """The ``kept`` verdict as a column, evaluated beside the row, without a join."""
     shared = spark.sparkContext.broadcast(refs)
 
-    @F.pandas_udf("boolean")
-    def keep(texts: pd.Series, langs: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def keep(texts: pa.Array, langs: pa.Array) -> pa.Array:
         c = _Counter()
-        return pd.Series([_judge(t, x, shared.value, c)[-1] for t, x in zip(texts, langs, strict=True)], dtype=bool)
+        rows = (x for a, n in runs(texts) for x in zip(texts.slice(a, n).to_pylist(), langs.slice(a, n).to_pylist(), strict=True))
+        return pa.array([_judge(t, x, shared.value, c)[-1] for t, x in rows], pa.bool_())
 
     return keep(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))

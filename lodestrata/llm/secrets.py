@@ -12,11 +12,11 @@ import math
 import random
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, runs
 
 # The base rules' patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -264,8 +264,8 @@ def redact(df: DataFrame, automata: dict[str, Automaton], text_col: str = "text"
     """The same rows and columns, each secret span of the text replaced by ``mark``; null stays null."""
     shared = df.sparkSession.sparkContext.broadcast(automata)
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
         def one(t):
             if not t:
                 return t
@@ -276,6 +276,6 @@ def redact(df: DataFrame, automata: dict[str, Automaton], text_col: str = "text"
                 done = max(done, b)
             return "".join(out) + t[done:] if done else t
 
-        return texts.map(one)
+        return pa.chunked_array([pa.array([one(t) for t in texts.slice(a, n).to_pylist()], pa.string()) for a, n in runs(texts)], pa.string()).combine_chunks()
 
     return df.withColumn(text_col, clean(F.col(text_col)))
