@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Documents without letters, or whose two nearest languages differ by less than this, are rejected.
 MIN_MARGIN = 0.02
-#: Names of dropped rows are broadcast up to this number (about 40 MB); beyond it both sides are shuffled.
-MOST_BROADCAST = 1_000_000
+#: Names of dropped rows are broadcast up to this number (about 8 MB); beyond it both sides are shuffled.
+MOST_BROADCAST = 200_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
