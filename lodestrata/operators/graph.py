@@ -89,7 +89,7 @@ def shared_neighbors(edges: DataFrame, seeds: DataFrame, least: int = 2) -> Data
 
 def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
     """(node, rank): weighted undirected PageRank; nodes have an edge each, so no mass dangles."""
-    d = both_ways(edges)
+    d = cut(both_ways(cut(edges)))
     out = d.groupBy("src").agg(F.sum("w").alias("total"))
     step = cut(d.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
     nodes = out.select(F.col("src").alias("node"))

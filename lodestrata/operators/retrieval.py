@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import relational as rel
-from .relational import cut, spread
+from .relational import cut
 
 #: Most rows, and bytes, of query terms or query vectors that are broadcast; above them sides are shuffled or taken in blocks.
 MOST_BROADCAST = 100_000
@@ -59,7 +59,7 @@ def against_all(docs: DataFrame, id_col: str, queries: DataFrame, query_id: str,
     def search(block: DataFrame) -> DataFrame:
         one = F.broadcast(block.agg(F.collect_list(F.struct("*")).alias("_q")))
         made = F.transform(F.array(bound), lambda b: F.filter(F.transform("_q", lambda q: F.struct(q[query_id].alias(query_id), score(b, q).alias("score"))), lambda s: s["score"] > least))[0]
-        return spread(docs).crossJoin(one).select(id_col, F.inline(made))  # one row on the right
+        return docs.crossJoin(one).select(id_col, F.inline(made))  # one row on the right
 
     return in_blocks(queries, query_id, search)
 
@@ -98,7 +98,7 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str
     looks the words of an Arrow batch up among the terms, adds up weights in a (query, document)
     matrix and keeps each query's best k, so no (query, document) pair but those is shuffled.
     """
-    made = spread(docs).select(F.col(doc_id), tokens.alias("_t"))
+    made = docs.select(F.col(doc_id), tokens.alias("_t"))
     asked = queries.select(query_id, F.explode(query_tokens).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("tf_q"))
     n_docs, mean = made.agg(F.count("*"), F.lit(0.0) if k1 is None else F.avg(F.size("_t"))).first()
     kinds = f"`{query_id}` {queries.schema[query_id].dataType.simpleString()}, `{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, score double"

@@ -8,7 +8,6 @@ from ..functions import text
 from ..operators import chunking as ch
 from ..operators import facets as fc
 from ..operators import graph as g
-from ..operators import relational as rel
 from .insight import _ranks, uses
 from .registry import query
 from .retrieval import dense, dense_sql
@@ -123,7 +122,7 @@ def model_embedding(t):
 @query()
 def structured_chunks(t):
     """Blocks of all documents by their shape."""
-    return ch.structured_pieces(rel.spread(t.documents), "doc_id", "text", 64, 96)
+    return ch.structured_pieces(t.documents, "doc_id", "text", 64, 96)
 
 
 @query()

@@ -10,12 +10,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.relational import spread
+
+TEXTS = ("documents", "pages")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """The tables of one folder as attributes; each is read when it is asked for."""
+    """The tables of one folder as attributes; each is read when it is asked for.
+
+    Tables of texts that are too small to fill the slots by themselves are dealt to all of them:
+    a small file of one row group would be one task's work.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -23,7 +30,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if name in TEXTS else table
 
 
 def query(sql: str | None = None):
