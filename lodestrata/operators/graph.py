@@ -231,21 +231,6 @@ def co_mentions(mentions: DataFrame, seeds: DataFrame, chunk: str, entity: str,
     return score.orderBy(F.desc("score"), chunk).limit(k)
 
 
-def similar_topology(edges: DataFrame, profile: DataFrame, node: str, least: float = 0.85, top: int = 500) -> DataFrame:
-    """Pairs of nodes of different domains with close degree profiles (ten greatest neighbour degrees): cosine at ``least`` or more.
-
-    Only the ``top`` nodes by degree are compared, as the operator is defined; each domain's are paired with the others'.
-    """
-    deg = degrees(edges)
-    near = both_ways(edges).join(deg.select(F.col("node").alias("dst"), "degree"), "dst").groupBy(F.col("src").alias("node")).agg(F.slice(F.sort_array(F.collect_list("degree"), asc=False), 1, 10).alias("p"))
-    best = deg.orderBy(F.desc("degree"), "node").limit(top).join(near, "node").join(profile.select(F.col(node).alias("node"), "domain"), "node")
-    b = best.select(F.col("node").alias("v"), F.col("p").alias("q"), F.col("domain").alias("dv"))
-    x = best.select(F.col("node").alias("u"), "p", F.col("domain").alias("du")).join(b, (F.col("u") < F.col("v")) & (F.col("du") != F.col("dv")))
-    dot = lambda a, c: F.aggregate(F.zip_with(a, c, lambda s, t: F.coalesce(s, F.lit(0)) * F.coalesce(t, F.lit(0))), F.lit(0).cast("long"), lambda s, t: s + t)
-    sim = F.round(dot(F.col("p"), F.col("q")) / F.sqrt(dot(F.col("p"), F.col("p")) * dot(F.col("q"), F.col("q"))), 3)
-    return x.select("u", "v", sim.alias("sim")).where(F.col("sim") >= least)
-
-
 def hubs(rank: DataFrame, k: int) -> DataFrame:
     return rel.ranked(rank.orderBy(F.desc("rank"), "node").limit(k), [F.lit(0)], [F.desc("rank"), "node"], "place")
 

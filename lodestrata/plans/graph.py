@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import graph as g
+from ..operators import insight as ins
 from ..operators import relational as rel
 from .registry import Tables, query
 
@@ -150,11 +151,6 @@ def co_mention_chunks(t):
     return g.co_mentions(mentions(t), seeds_, "chunk", "entity", "conf", 25)
 
 
-@query()
-def analogies(t):
-    return g.similar_topology(edges(t), profile(t), "node", 0.97, 120)
-
-
 @query(sql=f"SELECT node, round((ln(1 + strength) + 50 * 0.001) / (1 + 0.22 * degree), 6) AS latent FROM (SELECT src AS node, count(*) AS degree, sum(w) AS strength FROM {BOTH} GROUP BY src)")
 def latent_topics(t):
     """Much mentioned, little connected."""
@@ -190,8 +186,9 @@ def top_entities_per_cluster(t):
 
 @query()
 def transfer_hubs(t):
-    e = edges(t)
-    return g.transfers(g.similar_topology(e, profile(t), "node", 0.97, 120), g.pagerank(e, 5), profile(t), "node")
+    """Hubs of the top decile with analogs in other brands, the best of each."""
+    e = g.cut(edges(t))
+    return g.transfers(ins.analogies(e, profile(t), "node"), g.pagerank(e, 5), profile(t), "node")
 
 
 @query(sql=f"""WITH b AS MATERIALIZED (SELECT * FROM {BOTH}), e AS (SELECT u, v, x.domain AS du, y.domain AS dv FROM {EDGES} JOIN {PROFILE} x ON x.node = u JOIN {PROFILE} y ON y.node = v WHERE w <= 1 AND x.domain <> y.domain)
