@@ -161,3 +161,15 @@ def family_counts(edges: DataFrame, families: str, state: str) -> DataFrame:
     f = edges.select(F.explode(F.when(F.size(families) > 0, F.array_distinct(families)).otherwise(F.array(F.lit(None).cast("string")))).alias("v")).groupBy(F.coalesce("v", F.lit("WeakAssociation")).alias("value")).agg(F.count("*").alias("n"))
     s = edges.groupBy(F.coalesce(state, F.lit("typed")).alias("value")).agg(F.count("*").alias("n"))
     return f.select(F.lit("family").alias("kind"), "value", "n").unionByName(s.select(F.lit("state").alias("kind"), "value", "n"))
+
+
+def drilldown(mentions: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(doc, other, entity, n, m, chunk, near, place): what joins two documents: their shared entities by the lesser
+    number of mentions, k a pair, each with its best mentioned chunk on either side.
+
+    Mentions are (doc, chunk, entity, conf); they are folded to one row for each document and entity first.
+    """
+    best = F.min_by("chunk", F.struct(-F.coalesce("conf", F.lit(0.5)), F.col("chunk")))
+    one = mentions.groupBy("doc", "entity").agg(F.count("*").alias("n"), best.alias("chunk"))
+    x = pairs.select("doc", "other").distinct().join(one, "doc").join(one.select(F.col("doc").alias("other"), "entity", F.col("n").alias("m"), F.col("chunk").alias("near")), ["other", "entity"])
+    return rel.top_per_key(x, ["doc", "other"], [F.desc(F.least("n", "m")), F.desc(F.col("n") + F.col("m")), "entity"], k, "place").select("doc", "other", "entity", "n", "m", "chunk", "near", "place")

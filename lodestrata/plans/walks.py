@@ -131,3 +131,13 @@ def entity_predicates(t):
     name = F.when(m == 0, F.concat(F.lit("Table "), size)).when(m == 1, F.concat(F.lit("["), size, F.lit("]"))).when(m == 2, "2024-05").when(m == 3, size).when(m == 4, " The ").when(m == 5, "1999b").when(m == 6, "3 and x2").otherwise(F.col("p_name"))
     kind = F.when(F.col("p_size") % 6 == 0, "Date").otherwise(F.col("p_type"))
     return t.part.select("p_partkey", w.is_junk_name(name).alias("junk"), w.is_noise_entity(F.col("p_partkey"), kind, name).alias("noise"))
+
+
+@query(sql="""WITH m AS MATERIALIZED (SELECT o_custkey AS doc, l_partkey AS entity, count(*) AS n, arg_min(l_orderkey, (-l_discount, l_orderkey)) AS chunk FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL), p AS (SELECT DISTINCT a.o_custkey AS doc, b.o_custkey AS other FROM orders a JOIN orders b ON b.o_custkey = a.o_custkey + 1 WHERE a.o_custkey % 10 = 0)
+SELECT doc, other, entity, n, m, chunk, near, place FROM (SELECT *, row_number() OVER (PARTITION BY doc, other ORDER BY least(n, m) DESC, n + m DESC, entity) AS place FROM (SELECT p.doc, p.other, x.entity, x.n, y.n AS m, x.chunk, y.chunk AS near FROM p JOIN m x ON x.doc = p.doc JOIN m y ON y.doc = p.other AND y.entity = x.entity)) WHERE place <= 5""")
+def document_drilldown(t):
+    """What joins each tenth customer to the next one."""
+    m = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("doc"), F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity"), F.col("l_discount").alias("conf"))
+    c = t.orders.select(F.col("o_custkey").alias("doc")).distinct()
+    pairs = c.where("doc % 10 = 0").withColumn("other", F.col("doc") + 1).join(c.withColumnRenamed("doc", "other"), "other", "left_semi")
+    return w.drilldown(m, pairs, 5)
