@@ -12,6 +12,7 @@ bounded memo, so the work follows the vocabulary and not the number of tokens.
 from __future__ import annotations
 
 import base64
+import tempfile
 from collections.abc import Sequence
 
 import numpy as np
@@ -88,7 +89,8 @@ class Codec:
         self.ranks = ranks
         self.known = np.array(sorted(ranks.values()), np.int32)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.scratch = tempfile.TemporaryDirectory(prefix="bpe-")  # where this worker's own queries spill; it goes with the object
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": self.scratch.name})
         triples = [(ranks[t[:c]], ranks[t[c:]], i) for t, i in ranks.items() for c in range(1, len(t)) if t[:c] in ranks and t[c:] in ranks]
         left, right, merged = (np.array(x, np.int32) for x in zip(*triples, strict=True)) if triples else (np.zeros(0, np.int32),) * 3
         self._table("merges", pa.table({"l": left, "r": right, "m": merged}))
