@@ -18,6 +18,9 @@ SLICE_CHARS = 2_000_000
 SPACES = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+#: Byte by byte: A-Z lower-cased, digits, a-z and non-ASCII characters as they are, every other byte a blank.
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
 
 def ascii_lower(text: str) -> bytes:
     """UTF-8 bytes with A-Z lower-cased and every other character as it was."""
@@ -61,15 +64,35 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, l
         yield batch.slice(start, n), column.slice(start, n).to_pylist()
 
 
-def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(start, rows) of runs with about SLICE_CHARS bytes."""
+def runs(texts: pa.Array, chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """(start, rows) of runs with about ``chars`` bytes."""
     if len(texts):
         size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        ends = np.flatnonzero(np.diff(size // SLICE_CHARS)) + 1
+        ends = np.flatnonzero(np.diff(size // chars)) + 1
         for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(texts)], strict=True):
             yield a, b - a
 
 
+def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, n + 1 offsets) of a string array, without copying the bytes; a null is empty."""
+    wide = pa.types.is_large_string(texts.type)
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if at is not None and at.size else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[at[0] : at[-1]], at - at[0]
+
+
+def spans(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the runs of true bytes; ``at`` holds the rows' offsets, which no run crosses."""
+    change = np.zeros(len(inside) + 1, bool)
+    change[1:-1] = inside[1:] != inside[:-1]
+    change[at] = True
+    edges = np.flatnonzero(change)
+    start, end = edges[:-1], edges[1:]
+    kept = inside[start]
+    start, end = start[kept], end[kept]
+    return start, end, np.searchsorted(at, start, "right") - 1
+
+
 def map_texts(df: DataFrame, keys: list[Column], text: str, make: Callable[[], Callable], schema: str) -> DataFrame:
     """Apply ``make()(key_arrays, texts) -> dict of columns`` to slices of rows, in Arrow batches.
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, license_scan, ngram_join, packing, pii, quality, secrets, url_rules, vector_join
+from . import bpe, collocations, decontaminate, langid, license_scan, ngram_join, packing, pii, quality, resample, secrets, url_rules, vector_join
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -90,6 +90,31 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(_docs(spark, sf_dir))
 
 
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontaminate.scan(_docs(spark, sf_dir), _benchmark(spark, sf_dir))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["word_end"] - s["word"])
+    return got.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_docs(spark, sf_dir), _benchmark(spark, sf_dir)).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_docs(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -107,5 +132,8 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_benchmark_decontamination": op11_benchmark_decontamination,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_phrase_collocations": op13_phrase_collocations,
     "pipeline": pipeline,
 }
