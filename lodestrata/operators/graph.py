@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import relational as rel
 from .relational import cut
@@ -22,17 +22,33 @@ def undirected(edges: DataFrame, a: str, b: str, weight: str) -> DataFrame:
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w").union(edges.select("v", "u", "w"))
+    """Each edge in both directions; what ``edges`` stands for is evaluated once."""
+    one = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.col("w").alias("w"))
+    return edges.select(F.explode(F.array(one("u", "v"), one("v", "u"))).alias("_e")).select("_e.*")
 
 
-def cooccurrence(mentions: DataFrame, group: str, member: str, least: int) -> DataFrame:
+#: Members of a group that are paired in one place.
+GROUP_BLOCK = 1_000
+
+
+def cooccurrence(mentions: DataFrame, group: str, member: str, least: int, block: int = GROUP_BLOCK) -> DataFrame:
     """Pairs of members of one group with the number of groups they share, at least ``least``.
 
-    Pairs arise within groups (orders, chunks) that are bounded by construction.
+    Pairs arise within groups. A group of more than ``block`` members is dealt to blocks by a hash of
+    the member, and every two of its blocks meet in a place of their own, so that no task pairs a whole
+    large group.
     """
-    m = mentions.select(group, member).distinct()
-    p = m.select(group, F.col(member).alias("u")).join(m.select(group, F.col(member).alias("v")), group).where("u < v")
-    return p.groupBy("u", "v").agg(F.count("*").alias("w")).where(F.col("w") >= least)
+    m = mentions.select(F.col(group).alias("g"), F.col(member).alias("x")).distinct()
+    large = cut(m.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > block))
+    few = m if not large.limit(1).count() else m.join(large, "g", "left_anti")
+    pairs = few.select("g", F.col("x").alias("u")).join(few.select("g", F.col("x").alias("v")), "g").where("u < v").select("u", "v")
+    if few is not m:
+        n = F.ceil(F.col("n") / block).cast("int")
+        b = m.join(large, "g").withColumn("k", n).withColumn("i", F.pmod(F.xxhash64("x"), F.col("k")).cast("int"))
+        b = b.select("g", "x", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j")).select("g", "x", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+        met = b.withColumnsRenamed({"x": "u", "i": "iu"}).join(b.withColumnsRenamed({"x": "v", "i": "iv"}), ["g", "lo", "hi"])
+        pairs = pairs.union(met.where("u < v and (lo = hi or iu <> iv)").select("u", "v"))
+    return pairs.groupBy("u", "v").agg(F.count("*").alias("w")).where(F.col("w") >= least)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -60,7 +76,7 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, cap: int | None = None
     Each hop joins the frontier with the edges, drops what was seen and counts; ``cap`` keeps the
     best of a hop by hits, then id.
     """
-    directed = both_ways(edges)
+    directed = cut(both_ways(edges))
     seen = seeds.select(F.col("node"), F.lit(0).cast("long").alias("hop"), F.lit(0).cast("long").alias("hits")).distinct()
     front = seen
     for h in range(1, hops + 1):
@@ -89,10 +105,9 @@ def shared_neighbors(edges: DataFrame, seeds: DataFrame, least: int = 2) -> Data
 
 def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
     """(node, rank): weighted undirected PageRank; nodes have an edge each, so no mass dangles."""
-    d = cut(both_ways(cut(edges)))
-    out = d.groupBy("src").agg(F.sum("w").alias("total"))
-    step = cut(d.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
-    nodes = out.select(F.col("src").alias("node"))
+    share = F.col("w") / F.sum("w").over(Window.partitionBy("src"))
+    step = cut(both_ways(edges).select("src", "dst", share.alias("p")))
+    nodes = step.select(F.col("src").alias("node")).distinct()
     n = nodes.count()
     r = nodes.select("node", F.lit(1.0 / n if n else 0.0).alias("rank"))
     for i in range(rounds):
@@ -104,7 +119,7 @@ def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFra
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): label and pointer jumping to the smallest node of each component."""
-    d = both_ways(edges.withColumn("w", F.lit(1))).select("src", "dst").distinct()
+    d = cut(both_ways(edges.withColumn("w", F.lit(1))).select("src", "dst").distinct())
     label = cut(d.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("component")))
     for _ in range(max_rounds):
         near = d.join(label.select(F.col("node").alias("dst"), F.col("component").alias("c")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("c").alias("c"))
@@ -127,47 +142,6 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return label
 
 
-def bridges(edges: DataFrame, component: DataFrame) -> DataFrame:
-    """Edges whose removal cuts their component (Tarjan, iterative), one component a group.
-
-    A component must fit one worker; the reference workload caps graphs at 25,000 nodes.
-    """
-
-    def find(g: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for u, v in zip(g["u"], g["v"], strict=True):
-            near.setdefault(u, []).append(v)
-            near.setdefault(v, []).append(u)
-        order, low, out = {}, {}, []
-        for root in sorted(near):
-            if root in order:
-                continue
-            order[root] = low[root] = len(order)
-            stack = [(root, None, iter(near[root]))]
-            while stack:
-                node, parent, it = stack[-1]
-                for nxt in it:
-                    if nxt == parent:
-                        continue
-                    if nxt in order:
-                        low[node] = min(low[node], order[nxt])
-                    else:
-                        order[nxt] = low[nxt] = len(order)
-                        stack.append((nxt, node, iter(near[nxt])))
-                        break
-                else:
-                    stack.pop()
-                    if parent is not None:
-                        low[parent] = min(low[parent], low[node])
-                        if low[node] > order[parent]:
-                            out.append((min(parent, node), max(parent, node)))
-        return pd.DataFrame(out, columns=["u", "v"])
-
-    x = edges.join(component.select(F.col("node").alias("u"), "component"), "u").select("u", "v", "component")
-    kind = edges.schema["u"].dataType.simpleString()
-    return x.groupBy("component").applyInPandas(find, f"u {kind}, v {kind}")
-
-
 def domain_profile(mentions: DataFrame, entity: str, domain: str) -> DataFrame:
     """Each entity's most frequent domain (ties by name) and the number it touches."""
     c = mentions.groupBy(entity, domain).agg(F.count("*").alias("n"))

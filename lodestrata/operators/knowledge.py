@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,36 +160,3 @@ def greedy_modularity(edges: DataFrame) -> pd.DataFrame:
                 merged[q] = merged.get(q, 0) + w
         between = merged
     return pd.DataFrame([(n, min(g)) for g in group.values() for n in sorted(g)], columns=["node", "community"])
-
-
-def betweenness(edges: DataFrame, component: DataFrame, nodes: int = 1500, sample: int = 256) -> DataFrame:
-    """Brandes' betweenness within each component (exact up to ``nodes``, above from evenly spaced sources): (node, value)."""
-
-    def brandes(g: pd.DataFrame) -> pd.DataFrame:
-        every, ends = np.unique(np.concatenate([g["u"], g["v"]]), return_inverse=True)
-        n, src, dst = len(every), ends, np.roll(ends, len(g))
-        dst = dst[np.argsort(src, kind="stable")]
-        at = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))])
-        sources = np.arange(n) if n <= nodes else np.arange(0, n, max(1, n // sample))
-        total, place = np.zeros(n), np.zeros(n, np.int64)
-        for s in sources:
-            seen, paths, need, levels, front = np.zeros(n, bool), np.zeros(n), np.zeros(n), [], np.array([s])
-            seen[s], paths[s] = True, 1.0
-            while len(front):
-                k = at[front + 1] - at[front]
-                x = np.repeat(front, k)
-                y = dst[np.repeat(at[front] - np.cumsum(k) + k, k) + np.arange(len(x))]
-                x, y = x[~seen[y]], y[~seen[y]]
-                np.add.at(paths, y, paths[x])
-                seen[y] = True
-                levels.append((x, y))
-                place[y] = np.arange(len(y))
-                front = y[place[y] == np.arange(len(y))]
-            for x, y in reversed(levels):
-                np.add.at(need, x, paths[x] / paths[y] * (1 + need[y]))
-            need[s] = 0.0
-            total += need
-        return pd.DataFrame({"node": every, "value": np.round(total * (n / len(sources) / 2), 6)})
-
-    x = edges.join(component.select(F.col("node").alias("u"), "component"), "u").select("u", "v", "component")
-    return x.groupBy("component").applyInPandas(brandes, f"node {edges.schema['u'].dataType.simpleString()}, value double")

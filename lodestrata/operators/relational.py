@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,24 +17,50 @@ from pyspark.sql.window import Window
 SPLIT_BYTES = 64 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder that spark.checkpoint.dir names; lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.
 
     Without that setting only a local master may go on, with a folder of its own: a cluster's
     executors could not see it.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="lodestrata-checkpoints-")
+    return shared.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder; lineage ends there."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            shared = tempfile.mkdtemp(prefix="lodestrata-checkpoints-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def rounds(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function for loops that writes rows to a table in the shared folder and reads them back.
+
+    A checkpoint keeps what Spark knows of the rows' order and of equal columns; over many rounds of
+    joins that multiplies until planning takes longer than running. A table begins anew. The
+    tables are deleted at the end, so what is returned is to be cut before.
+    """
+    top, number = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}", count()
+
+    def settle(df: DataFrame) -> DataFrame:
+        path = f"{top}/{next(number)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield settle
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a small scan dealt to all slots; an input that fills them stays where it is.
 
@@ -151,3 +181,19 @@ def dip_boundaries(df: DataFrame, key: str, order: str, score: str, least: int =
     start = F.struct(F.lit(1).alias("last"), F.array().cast(f"array<{df.schema[order].dataType.simpleString()}>").alias("kept"))
     step = lambda a, d: F.when(d["_i"] - a["last"] >= least, F.struct(d["_i"].alias("last"), F.concat(a["kept"], F.array(d["o"])).alias("kept"))).otherwise(a)
     return dips.select(key, F.explode(F.aggregate("d", start, step)["kept"]).alias(order))
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """1, 2, ... over all rows by a total order; no task holds them all.
+
+    Rows are dealt out in ranges of the order and sorted there. A row's number is its number in
+    its range and the counts of the ranges before, which alone reach the driver.
+    """
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, before, starts = F.shiftright("_at", 33), 0, []
+    for p, n in sorted(map(tuple, placed.groupBy(part.alias("p")).count().collect())):
+        starts.append((p, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(starts, "_p long, _before long")
+    x = placed.withColumn("_p", part.cast("long")).join(F.broadcast(starts), "_p")  # a row a range
+    return x.select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias(name))

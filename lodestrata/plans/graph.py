@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import centrality, communities as com
 from ..operators import graph as g
 from ..operators import insight as ins
 from ..operators import relational as rel
@@ -93,14 +94,29 @@ def connected_components(t):
 
 @query()
 def communities(t):
-    """Label propagation; checked in tests for determinism and for agreement within components."""
-    return g.label_propagation(edges(t), 4)
+    """Louvain; tests hold it against the best of all partitions and watch modularity rise."""
+    return com.louvain(edges(t))[0]
+
+
+@query()
+def concept_communities(t):
+    """Communities by the PageRank sum of their members, with their edges outwards and top members."""
+    e = g.cut(edges(t))
+    return com.ranked_communities(e, com.louvain(e)[0], g.pagerank(e, 10))
 
 
 @query()
 def bridge_edges(t):
-    e = edges(t)
-    return g.bridges(e, g.components(e))
+    """Edges that alone hold a component together."""
+    return centrality.bridges(edges(t))
+
+
+@query(sql=f"""WITH RECURSIVE e AS MATERIALIZED (SELECT u, v FROM {EDGES} WHERE w >= 2), b AS MATERIALIZED (SELECT u AS x, v AS y FROM e UNION ALL SELECT v, u FROM e),
+r(u, v, node) AS (SELECT u, v, u FROM e UNION SELECT r.u, r.v, y FROM r JOIN b ON x = node WHERE NOT (x = r.u AND y = r.v) AND NOT (x = r.v AND y = r.u))
+SELECT u, v FROM e ANTI JOIN (SELECT u, v FROM r WHERE node = v) USING (u, v)""")
+def repeated_bridges(t):
+    """Bridges among the pairs that share two orders or more."""
+    return centrality.bridges(edges(t).where("w >= 2"))
 
 
 @query(sql=f"""WITH c AS (SELECT entity AS node, o_custkey % 8 AS domain, count(*) AS n FROM {MENTIONS} m JOIN orders ON o_orderkey = chunk GROUP BY ALL)

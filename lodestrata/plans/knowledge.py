@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import centrality
 from ..operators import graph as g
 from ..operators import knowledge as k
 from ..operators import relational as rel
@@ -152,8 +153,8 @@ def degree_capped_graph(t):
 
 @query()
 def node_betweenness(t):
-    e = edges(t)
-    return k.betweenness(e, g.components(e))
+    """Unnormalised, as counts of pairs."""
+    return centrality.betweenness(edges(t), normalized=False)
 
 
 @query()

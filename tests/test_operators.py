@@ -4,7 +4,7 @@ import random
 
 import pytest
 from lodestrata.functions import dates, text
-from lodestrata.operators import chunking, graph, retrieval
+from lodestrata.operators import centrality, chunking, graph, retrieval
 from lodestrata.operators import relational as rel
 from pyspark.sql import functions as F
 
@@ -43,7 +43,7 @@ def test_bridges_and_communities(spark):
     comp = graph.components(df)
     assert all(base[r.node] == r.component for r in comp.collect())
     want = {x for x in e if len(set(parts(e - {x}))) > len(set(base))}
-    assert {(r.u, r.v) for r in graph.bridges(df, comp).collect()} == want
+    assert {(r.u, r.v) for r in centrality.bridges(df).collect()} == want
     labels = {r.node: r.community for r in graph.label_propagation(df, 4).collect()}
     assert labels == {r.node: r.community for r in graph.label_propagation(df, 4).collect()} and all(base[n] == base[c] for n, c in labels.items())
 
