@@ -27,7 +27,7 @@ from .common import map_texts
 MEMO = 300_000
 #: Words sent to one recursive query hold about this many bytes in all (one word may be longer).
 QUERY_BYTES = 400_000
-#: Longer words contract all places of their smallest rank at once, checked to be the same thing.
+#: Longer words contract all places of their smallest rank at once where that gives the same; a word where it does not goes one pair at a time.
 LONG_WORD = 512
 #: Recursion depth of one query over long words; the query repeats until nothing is left to merge.
 LONG_DEPTH = 48
@@ -47,20 +47,22 @@ SELECT s.w, s.p, s.t FROM s JOIN (SELECT w, max(i) AS i FROM s GROUP BY w) f ON
 ORDER BY s.w, s.p
 """
 
-# All non-overlapping places of the smallest rank, from the left, contract in one step. That equals
-# contracting them one by one unless a new pair ranks below the one contracted; such a word is told
-# by its smallest rank falling (bad) and is encoded anew, one pair at a time.
+# All places of the smallest rank that do not overlap, from the left, contract in one step. That equals
+# contracting them one by one unless a pair that arises on the way ranks below the one contracted: a
+# new token with what stood to its right before the step (worse), or with what stands beside it after
+# it, told by the smallest rank falling. Such a word (bad) is encoded anew, one pair at a time.
 _ENCODE_LONG = f"""
 WITH RECURSIVE s(i, w, p, t, prev, bad) AS (
   SELECT 0, w, p, t, prev, false FROM start
   UNION ALL
-  SELECT i + 1, w, (row_number() OVER (PARTITION BY w ORDER BY p))::INT - 1, t, best, best < prev FROM (
-    SELECT i, w, p, CASE WHEN hit THEN best ELSE t END AS t, best, prev, lag(hit, 1, false) OVER (PARTITION BY w ORDER BY p) AS gone FROM (
+  SELECT i + 1, w, (row_number() OVER (PARTITION BY w ORDER BY p))::INT - 1, t, best, best < prev OR worse FROM (
+    SELECT i, h.w, p, CASE WHEN hit THEN best ELSE t END AS t, best, prev, lag(hit, 1, false) OVER (PARTITION BY h.w ORDER BY p) AS gone, coalesce(bool_or(hit AND n.m < best) OVER (PARTITION BY h.w), false) AS worse FROM (
       SELECT *, m = best AND (p - min(p) OVER (PARTITION BY w, m = best, island)) % 2 = 0 AS hit FROM (
         SELECT *, p - row_number() OVER (PARTITION BY w, m IS NOT DISTINCT FROM best ORDER BY p) AS island FROM (
           SELECT x.*, m.m, min(m.m) OVER (PARTITION BY x.w) AS best
-          FROM (SELECT *, lead(t) OVER (PARTITION BY w ORDER BY p) AS nt FROM s WHERE NOT bad) x
-          LEFT JOIN merges m ON m.l = x.t AND m.r = x.nt))))
+          FROM (SELECT *, lead(t) OVER (PARTITION BY w ORDER BY p) AS nt, lead(t, 2) OVER (PARTITION BY w ORDER BY p) AS nnt FROM s WHERE NOT bad) x
+          LEFT JOIN merges m ON m.l = x.t AND m.r = x.nt))) h
+    LEFT JOIN merges n ON h.hit AND n.l = h.best AND n.r = h.nnt)
   WHERE best IS NOT NULL AND i < {LONG_DEPTH} AND NOT coalesce(gone, false)
 )
 SELECT s.w, s.p, s.t, s.prev, s.bad, f.i AS depth FROM s JOIN (SELECT w, max(i) AS i FROM s GROUP BY w) f ON f.w = s.w AND f.i = s.i

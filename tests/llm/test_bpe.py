@@ -42,6 +42,33 @@ def test_random_long_words_agree_with_one_contraction_at_a_time(library):
         assert codec.encode([w])[0].tolist() == codec._short([w])[0].tolist() == library._encode_single_piece(w)
 
 
+def one_at_a_time(ranks, word):
+    t = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        best = min(((ranks[t[i] + t[i + 1]], i) for i in range(len(t) - 1) if t[i] + t[i + 1] in ranks), default=None)
+        if best is None:
+            return [ranks[x] for x in t]
+        t[best[1] : best[1] + 2] = [t[best[1]] + t[best[1] + 1]]
+
+
+def test_long_words_of_tables_where_the_order_matters(monkeypatch):
+    import random
+
+    monkeypatch.setattr(bpe, "LONG_WORD", 4)
+    single = {bytes([b]): b for b in range(256)}
+    codec = bpe.Codec(single | {b"aba": 256, b"ab": 257})
+    assert codec.encode([b"ab" * 300])[0].tolist() == one_at_a_time(codec.ranks, b"ab" * 300) == [256, 98] * 150
+    rng = random.Random(3)
+    for _ in range(12):
+        tokens = sorted({bytes(rng.choices(b"abc", k=rng.randint(2, 5))) for _ in range(25)})
+        rng.shuffle(tokens)
+        codec = bpe.Codec(single | {t: 256 + i for i, t in enumerate(tokens)})
+        for n in (5, 17, 60):
+            w = bytes(rng.choices(b"abc", k=n))
+            if w not in codec.ranks:
+                assert codec.encode([w])[0].tolist() == one_at_a_time(codec.ranks, w), (codec.ranks, w)
+
+
 def test_query_digests(spark, library):
     from lodestrata.llm.queries import op1_byte_bpe
 
