@@ -138,21 +138,23 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     vector that is null, empty, all zero, or holds a null or non-finite component links with
     nothing, nor does a row with a null label or id. Equal vectors of one label are one node while
     pairs are sought, and count as links of each other. Rows that repeat an id are one vector if
-    they are equal. An empty table gives no rows; other columns are ignored.
+    they are equal, else vectors of their own. An empty table gives no rows; other columns are ignored.
     """
     v = F.col(vector_col).cast("array<double>")
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False))
     fine &= F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("v")).withColumn("fine", fine)
     rows = cut(rows.withColumn("name", F.when(F.col("fine"), F.sha2(F.to_json(F.struct("label", "v")), 256))))
-    groups = rows.where("fine").groupBy("name", "label", "v").agg(F.min("id").alias("node"), F.countDistinct("id").alias("copies"))
-    groups = cut(groups)
+    groups = rows.where("fine").groupBy("name", "label", "v").agg(F.min("id").alias("least"), F.countDistinct("id").alias("copies"))
+    groups = cut(groups.withColumn("node", F.monotonically_increasing_id()))  # a number of its own: ids may repeat
     pairs = cut(similar_pairs(groups.select(F.col("node").alias("id"), "label", "v"), cosine))
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = both.join(groups.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    label = components(pairs, "a", "b")
-    node = groups.join(links.withColumnRenamed("a", "node"), "node", "left").join(label, "node", "left")
-    node = node.select("name", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    links = both.join(groups.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    label = cut(components(pairs, "a", "b"))
+    smallest = label.join(groups.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    label = left_join_skewed(label, cut(smallest), ["component"]).select("node", "component_id")
+    node = groups.join(links, "node", "left").join(label, "node", "left")
+    node = node.select("name", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     joined = left_join_skewed(rows.where("fine").select("id", "name"), cut(node), ["name"]).select("id", "n_links", "component_id")
     alone = rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = joined.unionByName(alone)

@@ -50,3 +50,10 @@ def test_empty_and_null_ids(spark):
     assert vj.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     got = vj.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0], 1, "", 1, ""), (5, [1.0, 0.0], 1, "", 1, ""), (5, [1.0, 0.0], 1, "", 1, "")], SCHEMA)).collect()
     assert sorted((tuple(r) for r in got), key=str) == sorted([(None, 0, None, True), (5, 0, 5, True), (5, 0, 5, True)], key=str)
+
+
+def test_repeated_ids_with_unlike_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in vj.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
