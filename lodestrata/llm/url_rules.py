@@ -15,17 +15,24 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-# Rules by host and path, and rules of the method's own.
+# Rules by host and path.
 SITE_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-JUNK_GLOBS = (
-    ("adult", "*adult-*"), ("adult", "*porn*"), ("adult", "*escort*"), ("adult", "*sex-chat*"), ("adult", "*/nsfw/*"),
-    ("gambling", "*casino*"), ("gambling", "*free-bets*"), ("gambling", "*online-poker*"), ("gambling", "*sports-betting*"), ("gambling", "*jackpot*"),
-    ("pharma", "*cheap-pills*"), ("pharma", "*viagra*"), ("pharma", "*cialis*"), ("pharma", "*online-pharmacy*"),
-    ("spam", "*spam-farm*"), ("spam", "*payday-loan*"), ("spam", "*link-farm*"), ("spam", "*free-followers*"), ("spam", "*replica-watch*"),
-    ("ads", "*ads-track*"), ("ads", "ads.*"), ("ads", "adserver.*"), ("ads", "*/adclick*"), ("ads", "*.doubleclick.*"),
+# Words that stand at the beginning of a word of a host label or path segment, with categories.
+JUNK_WORDS = (
+    ("adult", "adult-"), ("adult", "porn"), ("adult", "escort"), ("adult", "sex-chat"),
+    ("gambling", "casino"), ("gambling", "free-bets"), ("gambling", "online-poker"), ("gambling", "sports-betting"), ("gambling", "jackpot"),
+    ("pharma", "cheap-pills"), ("pharma", "viagra"), ("pharma", "cialis"), ("pharma", "online-pharmacy"),
+    ("spam", "spam-farm"), ("spam", "payday-loan"), ("spam", "link-farm"), ("spam", "free-followers"), ("spam", "replica-watch"), ("ads", "ads-track"),
+)
+# Globs over the whole canonical URL, with categories.
+PLACE_GLOBS = (
+    ("adult", "*/nsfw/*"), ("ads", "ads.*"), ("ads", "adserver.*"), ("ads", "*/adclick*"), ("ads", "*.doubleclick.*"),
     ("download", "*.exe"), ("download", "*.msi"), ("download", "*.apk"), ("download", "*.iso"), ("download", "*/warez/*"), ("download", "*/keygen*"),
     ("page", "*/wp-login.php*"), ("page", "*/wp-admin*"), ("page", "*/cgi-bin/*"), ("page", "*/signin"), ("page", "*/cart/checkout*"),
 )
+#: What a word may stand behind: the beginning of the host, a label, a segment, or a part of one.
+WORD_EDGES = ("", "*.", "*/", "*-", "*_")
+JUNK_GLOBS = tuple((category, f"{edge}{word}*") for category, word in JUNK_WORDS for edge in WORD_EDGES) + PLACE_GLOBS
 #: Stands between host and path in the canonical form; no character has this code.
 EDGE = 0x110000
 
