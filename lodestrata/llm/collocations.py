@@ -14,10 +14,10 @@ from urllib.parse import quote
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, buffers, cut, left_join_skewed, runs, spans
+from .common import _LOWER, buffers, cut, left_join_skewed, numbered, runs, spans
 
 MAX_N, LEAST, TOP = 4, 30, 2_000
 #: Bytes of text of one language whose equal suffixes are counted together before the shuffle.
@@ -236,6 +236,7 @@ def mine(df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_n: i
     longer = able.where("m > 2").select(F.explode(F.expr(inner)).alias("key"), F.col("a").alias("f")).groupBy("key").agg(F.max("f").alias("longest"))
     kept = able.join(parts, "key").join(longer, "key", "left").where("longest is null or 100 * longest < 80 * a")
     kept = kept.select("lang", F.array_join("w", " ").alias("phrase"), "a", F.expr(cuts).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = kept.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
+    placed = cut(numbered(cut(kept), ["lang", F.desc("score"), F.desc("a"), "phrase"], "number"))
+    first = placed.groupBy("lang").agg(F.min("number").alias("first"))
+    best = placed.join(first, "lang").withColumn("rank", F.col("number") - F.col("first") + 1).where(F.col("rank") <= top)
     return best.join(total, "lang").select(F.url_decode("lang").alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")

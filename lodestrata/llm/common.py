@@ -118,6 +118,30 @@ def map_texts(df: DataFrame, keys: list[Column], text: str, make: Callable[[], C
     return picked.mapInArrow(run, schema)
 
 
+#: Rows of a range of ``numbered``.
+RANGE_ROWS = 500_000
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """1, 2, ... over all rows by a total order; no task holds them all.
+
+    Rows are dealt out in ranges of the order and sorted there, so the number of a row is its number
+    in its range and the counts of the ranges before; those counts, one a range, are all that
+    reaches the driver.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
+    at = F.monotonically_increasing_id()  # number of the range, then 33 bits of the number in it
+    placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", at))
+    part, before, starts = F.shiftright("_at", 33), 0, []
+    for p, n in sorted(map(tuple, placed.groupBy(part.alias("p")).count().collect())):
+        starts.append((p, before))
+        before += n
+    starts = F.broadcast(spark.createDataFrame(starts, "_p long, _before long"))
+    x = placed.withColumn("_p", part.cast("long")).join(starts, "_p")
+    return x.select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias(name))
+
+
 #: A key is hot from this many rows, and from this share of all rows; so there are at most HOT_KEYS hot keys.
 HOT_ROWS, HOT_KEYS = 1_000, 2_000
 

@@ -17,15 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, buffers, cut, runs, spans
+from .common import FOLD, buffers, cut, numbered, runs, spans
 
 BUCKETS, MAX_N = 10_000, 3
 #: Bytes of text whose words advance together (one text may be longer).
 SLICE = 500_000
 #: Words go on by themselves after so many bytes.
 STEPS = 64
-#: Rows of a partition of the ranking.
-RANKED_ROWS = 500_000
 
 _ALL = np.uint32(0xFFFFFFFF)
 
@@ -130,26 +128,6 @@ def weigh(df: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col: str
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_features long, weight long")
 
 
-def ranked(df: DataFrame, draw: int, rows: int, order: list) -> DataFrame:
-    """``df`` with rank 1, 2, ... of the first ``draw`` rows by ``order``, null for others.
-
-    Rows are dealt out in ranges of the order and sorted there, so the number of a row is its
-    number in its range and the counts of the ranges before; those counts, one a range, are
-    all that reaches the driver. ``df`` has been cut, and ``rows`` is its count.
-    """
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / RANKED_ROWS))
-    at = F.monotonically_increasing_id()  # number of the range, then 33 bits of the number in it
-    placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", at))
-    part = F.shiftright("_at", 33)
-    before, start = 0, []
-    for p, n in sorted(map(tuple, placed.groupBy(part.alias("p")).count().collect())):
-        start.append((p, before))
-        before += n
-    starts = df.sparkSession.createDataFrame([(p, b) for p, b in start if b < draw], "_p long, _before long")
-    number = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
-    return placed.withColumn("_p", part.cast("long")).join(F.broadcast(starts), "_p", "left").withColumn("rank", F.when(number <= draw, number)).select(*df.columns, "rank")
-
-
 def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text", percent: int = 5, least_words: int = 20, seed: str = "42") -> DataFrame:
     """(id_col, n_words, n_features, weight, score, rank), one row per row.
 
@@ -165,6 +143,6 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
     scored = cut(weigh(docs, gain, id_col, text_col).withColumn("score", F.col("weight") + noise))
     able = scored.where(F.col("n_words") >= least_words)
-    rows = able.count()
-    drawn = ranked(able, percent * rows // 100, rows, [F.col("score").desc(), F.col(id_col).asc_nulls_last()])
+    drawn = numbered(able, [F.col("score").desc(), F.col(id_col).asc_nulls_last()], "rank")
+    drawn = drawn.withColumn("rank", F.when(F.col("rank") <= percent * able.count() // 100, F.col("rank")))
     return drawn.union(scored.where(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("long")))

@@ -8,7 +8,7 @@ from collections import Counter
 from hashlib import sha256
 
 import pytest
-from lodestrata.llm import collocations, decontaminate, resample
+from lodestrata.llm import collocations, common, decontaminate, resample
 from pyspark.sql import functions as F
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -105,7 +105,7 @@ def brute_resample(rows, target):
 @pytest.mark.parametrize("parts", [1, 3])
 def test_resampling(spark, docs, texts, monkeypatch, parts):
     monkeypatch.setattr(resample, "SLICE", 3_000)
-    monkeypatch.setattr(resample, "RANKED_ROWS", 50)
+    monkeypatch.setattr(common, "RANGE_ROWS", 50)
     rng = random.Random(3)
     pool = [*texts, "É" * 300 + " b", "a" * 64 + " " + "b" * 65 + " " + "c" * 70_000, "no-break\x85line tab\tend"]
     rows = list(enumerate(pool)) + [(None, "w " * 25), (1_000, None)] + [(2_000 + i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(15, 40)))) for i in range(200)]
