@@ -62,13 +62,13 @@ def rank_bonuses(t):
     return fc.bonuses(p, "query_id", "rank", "score", "label", F.col("label") % 3 == 0, "m").select("query_id", "vec_id", "ranked_score")
 
 
-@query(sql="""WITH a AS (SELECT DISTINCT item_id, unnest(list_slice(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9]*'))), 1, 6)) AS term FROM benchmark), f AS (SELECT doc_id, term, sum(w) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]*')) AS term, 1.0::DOUBLE AS w FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(source || ' ' || lang), '[a-z][a-z0-9]*')), 5.0 FROM documents) GROUP BY ALL),
+@query(sql="""WITH a AS (SELECT DISTINCT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9]*'))) AS term FROM benchmark), f AS (SELECT doc_id, term, sum(w) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]*')) AS term, 1.0::DOUBLE AS w FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(source || ' ' || lang), '[a-z][a-z0-9]*')), 5.0 FROM documents) GROUP BY ALL),
 s AS (SELECT item_id, doc_id, sum(tf) AS raw FROM a JOIN f USING (term) GROUP BY ALL)
 SELECT item_id, doc_id, score, rank FROM (SELECT item_id, doc_id, round(raw / max(raw) OVER (PARTITION BY item_id), 4) AS score, row_number() OVER (PARTITION BY item_id ORDER BY raw DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
 def text_index(t):
     """Weighted counts over heading and text, as shares of the best."""
     d = t.documents.withColumn("head", F.concat_ws(" ", "source", "lang"))
-    q = t.benchmark.select("item_id", F.slice(F.array_sort(F.array_distinct(text.words("text"))), 1, 6).alias("terms"))
+    q = t.benchmark.select("item_id", F.array_distinct(text.words("text")).alias("terms"))
     return fc.text_index(d, "doc_id", q, "item_id", "terms", {"text": 1.0, "head": 5.0}, 5)
 
 

@@ -29,8 +29,9 @@ def profile(t: Tables):
     return t.part.select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("domain"))
 
 
-def seeds(t: Tables, most: int):
-    return t.part.where(F.col("p_partkey") < most).select(F.col("p_partkey").alias("node"))
+def seeds(t: Tables):
+    """Every part whose key is divisible by 50."""
+    return t.part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("node"))
 
 
 @query(sql=f"SELECT u, v, w FROM {EDGES}")
@@ -48,26 +49,26 @@ def degree_gini(t):
     return rel.gini(g.degrees(edges(t)), "degree")
 
 
-@query(sql=f"""WITH RECURSIVE b AS MATERIALIZED (SELECT src, dst FROM {BOTH}), h1 AS (SELECT dst AS node, count(*) AS hits FROM b WHERE src < 3 AND dst >= 3 GROUP BY dst),
-h2 AS (SELECT dst AS node, count(*) AS hits FROM b JOIN h1 ON src = node WHERE dst >= 3 AND dst NOT IN (SELECT node FROM h1) GROUP BY dst)
-SELECT p_partkey AS node, 0::BIGINT AS hop, 0::BIGINT AS hits FROM part WHERE p_partkey < 3 UNION ALL SELECT node, 1, hits FROM h1 UNION ALL SELECT node, 2, hits FROM h2""")
+@query(sql=f"""WITH RECURSIVE b AS MATERIALIZED (SELECT src, dst FROM {BOTH}), h1 AS (SELECT dst AS node, count(*) AS hits FROM b WHERE src % 50 = 0 AND dst % 50 <> 0 GROUP BY dst),
+h2 AS (SELECT dst AS node, count(*) AS hits FROM b JOIN h1 ON src = node WHERE dst % 50 <> 0 AND dst NOT IN (SELECT node FROM h1) GROUP BY dst)
+SELECT p_partkey AS node, 0::BIGINT AS hop, 0::BIGINT AS hits FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT node, 1, hits FROM h1 UNION ALL SELECT node, 2, hits FROM h2""")
 def hop_expand(t):
-    return g.expand(edges(t), seeds(t, 3), 2)
+    return g.expand(edges(t), seeds(t), 2)
 
 
-@query(sql=f"SELECT a.p_partkey AS u, b.p_partkey AS v FROM part a JOIN part b ON a.p_partkey < b.p_partkey WHERE b.p_partkey < 30 AND NOT EXISTS (SELECT 1 FROM {EDGES} e WHERE e.u = a.p_partkey AND e.v = b.p_partkey)")
+@query(sql=f"SELECT a.p_partkey AS u, b.p_partkey AS v FROM part a JOIN part b ON a.p_partkey < b.p_partkey WHERE a.p_partkey % 50 = 0 AND b.p_partkey % 50 = 0 AND NOT EXISTS (SELECT 1 FROM {EDGES} e WHERE e.u = a.p_partkey AND e.v = b.p_partkey)")
 def missing_edges(t):
-    return g.missing_edges(seeds(t, 30), edges(t))
+    return g.missing_edges(seeds(t), edges(t))
 
 
-@query(sql=f"SELECT u, v, w FROM {EDGES} WHERE u < 50 AND v < 50")
+@query(sql=f"SELECT u, v, w FROM {EDGES} WHERE u % 50 = 0 AND v % 50 = 0")
 def induced_edges(t):
-    return g.induced(edges(t), seeds(t, 50))
+    return g.induced(edges(t), seeds(t))
 
 
-@query(sql=f"SELECT dst AS node, count(DISTINCT src) AS seeds FROM {BOTH} WHERE src < 20 AND dst >= 20 GROUP BY dst HAVING count(DISTINCT src) >= 2")
+@query(sql=f"SELECT dst AS node, count(DISTINCT src) AS seeds FROM {BOTH} WHERE src % 50 = 0 AND dst % 50 <> 0 GROUP BY dst HAVING count(DISTINCT src) >= 2")
 def shared_neighbors(t):
-    return g.shared_neighbors(edges(t), seeds(t, 20))
+    return g.shared_neighbors(edges(t), seeds(t))
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -160,10 +161,10 @@ def tombstones(t):
     return g.follow_tombstones(s, 3)
 
 
-@query(sql=f"""SELECT chunk, round(sum(cs * coalesce(conf, 0.5)), 6) AS score, count(DISTINCT entity) AS shared FROM {MENTIONS} m JOIN (SELECT entity, sum(coalesce(conf, 0.5)) AS cs FROM {MENTIONS} WHERE chunk < 20 GROUP BY entity) s USING (entity)
-WHERE chunk >= 20 GROUP BY chunk ORDER BY score DESC, chunk LIMIT 25""")
+@query(sql=f"""SELECT chunk, round(sum(cs * coalesce(conf, 0.5)), 6) AS score, count(DISTINCT entity) AS shared FROM {MENTIONS} m JOIN (SELECT entity, sum(coalesce(conf, 0.5)) AS cs FROM {MENTIONS} WHERE chunk % 50 = 0 GROUP BY entity) s USING (entity)
+WHERE chunk % 50 <> 0 GROUP BY chunk ORDER BY score DESC, chunk LIMIT 25""")
 def co_mention_chunks(t):
-    seeds_ = t.orders.where("o_orderkey < 20").select(F.col("o_orderkey").alias("chunk"))
+    seeds_ = t.orders.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("chunk"))
     return g.co_mentions(mentions(t), seeds_, "chunk", "entity", "conf", 25)
 
 

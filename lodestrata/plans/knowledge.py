@@ -42,11 +42,11 @@ def fuzzy_anchor(t):
 
 
 @query(sql=f"""SELECT doc_id, item_id, round(CASE WHEN contains(hay, ' ' || phrase || ' ') THEN 2 + cov ELSE cov END, 6) AS grounding FROM (SELECT *, len(list_filter(terms, lambda t: contains(hay, ' ' || t || ' '))) / len(terms) AS cov FROM
- (SELECT doc_id, ' ' || {_FLAT.format('text')} || ' ' AS hay FROM documents), (SELECT item_id, array_to_string(list_slice(string_split({_FLAT.format('text')}, ' '), 1, 6), ' ') AS phrase, list_slice(list_distinct_sorted, 1, 8) AS terms FROM (SELECT item_id, text, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9]*'))) AS list_distinct_sorted FROM benchmark))) WHERE cov >= 0.75""")
+ (SELECT doc_id, ' ' || {_FLAT.format('text')} || ' ' AS hay FROM documents), (SELECT item_id, {_FLAT.format('text')} AS phrase, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9]*')) AS terms FROM benchmark)) WHERE cov >= 0.75""")
 def lane_grounding(t):
     """Grounding of all documents in a lane of each benchmark passage."""
     flat = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
-    lanes = t.benchmark.select("item_id", F.array(text.padded(F.array_join(F.slice(F.split(flat, " "), 1, 6), " "))).alias("phrases"), F.transform(F.slice(F.array_sort(F.array_distinct(text.words("text"))), 1, 8), text.padded).alias("terms"))
+    lanes = t.benchmark.select("item_id", F.array(text.padded(flat)).alias("phrases"), F.transform(F.array_distinct(text.words("text")), text.padded).alias("terms"))
     x = r.against_all(t.documents, "doc_id", lanes, "item_id", text.padded("text"), lambda hay, q: k.lane_grounding(hay, q["phrases"], q["terms"]), 0.749999)
     return x.where("score < 1.000001 or score >= 2.75").select("doc_id", "item_id", F.round("score", 6).alias("grounding"))
 
@@ -159,8 +159,8 @@ def node_betweenness(t):
 
 @query()
 def term_communities(t):
-    """Greedy modularity over the 40 most mentioned entities, as the term canvas defines its scope."""
-    top = mentions(t).groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity").limit(40).select(F.col("entity").alias("node"))
+    """Greedy modularity over the 80 most mentioned entities, which is the scope of the operator."""
+    top = mentions(t).groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity").limit(80).select(F.col("entity").alias("node"))
     return t.spark.createDataFrame(k.greedy_modularity(g.induced(edges(t), top)), "node long, community long")
 
 

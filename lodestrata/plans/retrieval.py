@@ -199,8 +199,8 @@ def multiset_overlap(t):
 
 @query(sql="""SELECT item_id, doc_id, score FROM (SELECT item_id, doc_id, CASE WHEN n > 0 THEN round(least(0.98, 0.45 + 0.35 * n / greatest(len(terms), 1) + CASE WHEN contains(low, phrase) THEN 0.18 ELSE 0 END), 4) ELSE 0.0 END AS score FROM (
  SELECT item_id, doc_id, low, terms, phrase, len(list_filter(terms, lambda t: contains(hay, ' ' || t || ' '))) AS n
- FROM (SELECT doc_id, lower(text) AS low, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS hay FROM documents), (SELECT item_id, lower(trim(text)) AS phrase, list_slice(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9]*'))), 1, 12) AS terms FROM benchmark))) WHERE score > 0.6""")
+ FROM (SELECT doc_id, lower(text) AS low, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS hay FROM documents), (SELECT item_id, lower(trim(text)) AS phrase, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9]*')) AS terms FROM benchmark))) WHERE score > 0.6""")
 def lexical_regex_score(t):
     """The fallback score of all passages against all documents."""
-    q = t.benchmark.select("item_id", F.col("text").alias("phrase"), F.slice(F.array_sort(F.array_distinct(text.words("text"))), 1, 12).alias("terms"))
+    q = t.benchmark.select("item_id", F.col("text").alias("phrase"), F.array_distinct(text.words("text")).alias("terms"))
     return r.against_all(t.documents, "doc_id", q, "item_id", text.scanned("text", F.lit("")), lambda row, q: text.lexical_score(q["terms"], row, q["phrase"]), 0.6)
