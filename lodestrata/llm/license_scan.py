@@ -1,10 +1,11 @@
 """License scans: base phrases, and an exact containment join of text blocks with license templates.
 
-Template tokens are ordered by how many documents hold them, rarest first. A block that holds
-at least a share t of a template's n distinct tokens holds one of its first n - ceil(t n) + 1
-tokens (prefix filter); a block with fewer distinct tokens than needed (length filter) and a
-match too late in a template's order to leave enough tokens (positional filter) are dropped
-before the exact count.
+A token is two words that stand one after the other, so a block that holds a template's tokens
+holds its wording and not just its words. Template tokens are ordered by how many documents hold
+them, rarest first. A block that holds at least a share t of a template's n distinct tokens holds
+one of its first n - ceil(t n) + 1 tokens (prefix filter); a block with fewer distinct tokens than
+needed (length filter) and a match too late in a template's order to leave enough tokens (positional
+filter) are dropped before the exact count.
 """
 
 from __future__ import annotations
@@ -102,6 +103,11 @@ def _words(text):
     return [w for w in words(text) if w]
 
 
+def tokens(ws: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """Every two neighbouring words."""
+    return list(zip(ws, ws[1:]))
+
+
 def phrase_places(ws: list[bytes], phrases=PHRASES) -> list[tuple[int, str]]:
     """(word index, label) of every place where a phrase's words stand one after another."""
     line, out = b" " + b" ".join(ws) + b" ", []
@@ -115,46 +121,48 @@ def phrase_places(ws: list[bytes], phrases=PHRASES) -> list[tuple[int, str]]:
 
 
 def document_frequency(df: DataFrame, text_col: str = "text", templates=TEMPLATES) -> dict[str, int]:
-    """In how many documents each template token occurs, over all documents; as many rows as such tokens."""
-    vocab = {w.encode() for t, _ in templates for w in t.split()}
+    """In how many documents each template token (two words, a blank between) occurs, over all documents; as many rows as such tokens."""
+    vocab = {p for t, _ in templates for p in tokens(t.encode().split())}
+    starts = {a for a, _ in vocab}
 
     def make():
         def run(keys, texts):
-            n: dict[bytes, int] = {}
+            n: dict[tuple[bytes, bytes], int] = {}
             for t in texts:
-                for w in vocab.intersection(words(t)):
-                    n[w] = n.get(w, 0) + 1
-            return {"token": [w.decode() for w in n], "n": list(n.values())}
+                ws = _words(t)
+                for p in () if starts.isdisjoint(ws) else vocab.intersection(zip(ws, ws[1:])):
+                    n[p] = n.get(p, 0) + 1
+            return {"token": [b" ".join(p).decode() for p in n], "n": list(n.values())}
 
         return run
 
     rows = map_texts(df, [], text_col, make, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
-    return {w.decode(): 0 for w in vocab} | {r["token"]: r["n"] for r in rows}
+    return {b" ".join(p).decode(): 0 for p in vocab} | {r["token"]: r["n"] for r in rows}
 
 
 class Matcher:
     """Templates and blocks as sets of tokens in one order, rarest first over the whole corpus."""
 
     def __init__(self, frequency: dict[str, int], templates=TEMPLATES, share: float = SHARE):
-        self.rank = {t.encode(): i for i, t in enumerate(sorted(frequency, key=lambda t: (frequency[t], t)))}
+        self.rank = {tuple(t.encode().split()): i for i, t in enumerate(sorted(frequency, key=lambda t: (frequency[t], t)))}
         self.templates, self.prefix = [], {b: {} for b in BLOCKS}
         for i, (text, label) in enumerate(templates):
-            tokens = sorted({w.encode() for w in text.split()}, key=self.rank.__getitem__)
-            need = math.ceil(share * len(tokens) - 1e-9)
-            self.templates.append((frozenset(tokens), need, label))
-            for pos, t in enumerate(tokens[: len(tokens) - need + 1]):
+            held = sorted(set(tokens(text.encode().split())), key=self.rank.__getitem__)
+            need = math.ceil(share * len(held) - 1e-9)
+            self.templates.append((frozenset(held), need, label))
+            for pos, t in enumerate(held[: len(held) - need + 1]):
                 self.prefix[block_of(text)].setdefault(t, []).append((i, pos))
         self.least = {b: min((self.templates[i][1] for at in p.values() for i, _ in at), default=0) for b, p in self.prefix.items()}
 
     def blocks(self, ws: list[bytes]) -> list[tuple[int, int, str, float]]:
         """(first word, words, label, containment) of each block and template that meet the threshold."""
-        out = []
+        out, every = [], tokens(ws)
         for size, prefix in self.prefix.items():
-            if prefix.keys().isdisjoint(ws):
+            if prefix.keys().isdisjoint(every):
                 continue
             half = size // 2
             for start in range(0, max(1, len(ws) - half), half):
-                block = set(ws[start : start + size])
+                block = set(every[start : start + size - 1])
                 if prefix.keys().isdisjoint(block):
                     continue
                 mine = sorted(self.rank.keys() & block, key=self.rank.__getitem__)
@@ -173,11 +181,11 @@ class Matcher:
                 if i in seen:
                     continue
                 seen.add(i)
-                tokens, need, label = self.templates[i]
-                if len(mine) < need or min(len(tokens) - pos, len(mine) - q) < need:
+                held, need, label = self.templates[i]
+                if len(mine) < need or min(len(held) - pos, len(mine) - q) < need:
                     continue
-                if (n := len(tokens & block)) >= need:
-                    yield label, n / len(tokens)
+                if (n := len(held & block)) >= need:
+                    yield label, n / len(held)
 
 
 def scan(df: DataFrame, frequency: dict[str, int], id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, share: float = SHARE) -> DataFrame:

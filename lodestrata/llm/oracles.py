@@ -35,10 +35,11 @@ FROM (SELECT *, {_JUNK} AS category FROM (SELECT *, array_to_string(list_concat(
 
 _PHRASES = ", ".join(f"('{p}', '{label}')" for p, label in license_scan.PHRASES)
 _TEMPLATES = ", ".join(f"({i}, '{t}', '{label}', {license_scan.block_of(t)})" for i, (t, label) in enumerate(license_scan.TEMPLATES))
+_PAIRS = "list_distinct(list_transform(list_zip({0}, ({0})[2:], true), lambda z: z[1] || ' ' || z[2]))"
 LICENSE_SCAN = rf"""WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p AS (SELECT doc_id, i - 1 AS i, label FROM (SELECT doc_id, w, phrase, label, unnest(range(1, len(w) + 1)) AS i FROM w, (VALUES {_PHRASES}) v(phrase, label)) WHERE array_to_string(w[i:i + len(string_split(phrase, ' ')) - 1], ' ') = phrase),
-t AS MATERIALIZED (SELECT label, size, list_distinct(string_split(body, ' ')) AS tokens FROM (VALUES {_TEMPLATES}) v(id, body, label, size)),
-b AS (SELECT doc_id, size, list_distinct(w[s + 1:s + size]) AS block FROM (SELECT doc_id, w, size, unnest(range(0, greatest(1, len(w) - size // 2), size // 2)) AS s FROM w, (SELECT DISTINCT size FROM t))),
+t AS MATERIALIZED (SELECT label, size, {_PAIRS.format("string_split(body, ' ')")} AS tokens FROM (VALUES {_TEMPLATES}) v(id, body, label, size)),
+b AS (SELECT doc_id, size, {_PAIRS.format('w[s + 1:s + size]')} AS block FROM (SELECT doc_id, w, size, unnest(range(0, greatest(1, len(w) - size // 2), size // 2)) AS s FROM w, (SELECT DISTINCT size FROM t))),
 f AS MATERIALIZED (SELECT doc_id, label, len(list_intersect(block, tokens)) / len(tokens) AS c FROM b JOIN t USING (size) WHERE len(list_intersect(block, tokens)) >= {license_scan.SHARE} * len(tokens) - 0.000000001)
 SELECT doc_id, len(w)::BIGINT AS n_words, (SELECT count(*) FROM p WHERE p.doc_id = w.doc_id) AS n_base, (SELECT min(i) FROM p WHERE p.doc_id = w.doc_id) AS first_word, (SELECT max(i) FROM p WHERE p.doc_id = w.doc_id) AS last_word,
 coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM p WHERE p.doc_id = w.doc_id), '') AS base_labels,

@@ -124,6 +124,19 @@ def test_globs_against_fnmatch():
     assert [[fnmatch.fnmatchcase(w, x) for x in globs] for w in words] == got.tolist()
 
 
+def test_words_of_a_license_out_of_order_are_none(docs):
+    text = "she released the boat under the pier while mit students watched; a fishing license hung there"
+    df = docs([(1, text), (2, "It is released under the MIT license, as we said.")])
+    rows = {r.doc_id: r for r in license_scan.scan(df, license_scan.document_frequency(df)).collect()}
+    assert not rows[1].blocks and [(b.label, b.containment) for b in rows[2].blocks] == [("mit", 1.0)]
+
+
+def test_essex_is_no_adult_site(docs):
+    urls = ["https://essex-chat.ac.uk/a", "http://x.org/specialist/", "http://the.sex-chat.example/", "http://a.org/best-sex-chat", "http://porn.example"]
+    got = {r.doc_id: r.category for r in url_rules.judge(docs(list(enumerate(urls))), "doc_id", "text", ()).collect()}
+    assert got == {0: None, 1: None, 2: "adult", 3: "adult", 4: "adult"}
+
+
 def test_license_scan(docs):
     body = lambda part: max((t for t, x in license_scan.TEMPLATES if x == part), key=len)
     long = "filler " * 3000 + "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files" + " x" * 50
@@ -138,9 +151,11 @@ def test_license_scan(docs):
         assert rows[i].n_words == len(w) and [(p.word, p.label) for p in rows[i].places] == want
         found = set()
         for text, label in license_scan.TEMPLATES:
-            size, tokens = license_scan.block_of(text), set(text.split())
+            size, t = license_scan.block_of(text), text.split()
+            held = set(zip(t, t[1:], strict=False))
             for s in range(0, max(1, len(w) - size // 2), size // 2):
-                if len(set(w[s : s + size]) & tokens) >= 0.9 * len(tokens) - 1e-9:
+                part = w[s : s + size]
+                if len(set(zip(part, part[1:], strict=False)) & held) >= 0.9 * len(held) - 1e-9:
                     found.add((s, min(size, len(w) - s), label))
         assert {(b.word, b.words, b.label) for b in rows[i].blocks} == found
     assert "cc-by-nc" in {b.label for b in rows[5].blocks} and {b.label for b in rows[7].blocks} == {"mit"}
