@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import changes
 from ..operators import relational as rel
 
 # Legal steps of the demonstration outbox.
@@ -122,3 +123,29 @@ def upsert_sink(path: str, keys: list[str], newest: str):
         rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/epoch={epoch}")
 
     return write
+
+
+def hashed_files(files: DataFrame) -> DataFrame:
+    """(path, hash, size, modified) of binary files."""
+    return files.select("path", F.sha2("content", 256).alias("hash"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def follow_folder(spark: SparkSession, root: str, pattern: str, sink: str, checkpoint: str) -> None:
+    """Takes in the files that are new since the last call, each once, whatever fails in between.
+
+    The source remembers paths in the checkpoint, and the sink is keyed by path, so a batch that
+    is run again changes nothing. A file that changes in place is new to no file source: ``rescan_folder``
+    finds those.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
+    hashed_files(files).writeStream.foreachBatch(upsert_sink(sink, ["path"], "modified")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def rescan_folder(spark: SparkSession, root: str, pattern: str, sink: str, epoch: int) -> DataFrame:
+    """(path, hash, state) of all files against the sink, which then holds what is new or changed."""
+    files = hashed_files(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root))
+    known = read_upserts(spark, sink)
+    states = rel.cut(changes.rescan(files, known if known is not None else files.limit(0)))
+    upsert_sink(sink, ["path"], "modified")(files.join(states.where("state in ('new', 'changed')").select("path"), "path", "left_semi"), epoch)
+    return states
