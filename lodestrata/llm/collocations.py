@@ -237,6 +237,6 @@ def mine(df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_n: i
     kept = able.join(parts, "key").join(longer, "key", "left").where("longest is null or 100 * longest < 80 * a")
     kept = kept.select("lang", F.array_join("w", " ").alias("phrase"), "a", F.expr(cuts).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     placed = cut(numbered(cut(kept), ["lang", F.desc("score"), F.desc("a"), "phrase"], "number"))
-    first = placed.groupBy("lang").agg(F.min("number").alias("first"))
-    best = placed.join(first, "lang").withColumn("rank", F.col("number") - F.col("first") + 1).where(F.col("rank") <= top)
-    return best.join(total, "lang").select(F.url_decode("lang").alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")
+    of = cut(placed.groupBy("lang").agg(F.min("number").alias("first")).join(total, "lang"))
+    best = left_join_skewed(placed, of, ["lang"]).withColumn("rank", F.col("number") - F.col("first") + 1).where(F.col("rank") <= top)
+    return best.select(F.url_decode("lang").alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")
