@@ -47,4 +47,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import audit, changes, documents, facets, graph, hydrate, insight, knowledge, knowledge_rows, lexicon, olap, planning, ranking, retrieval, services, streams, texts, walks  # noqa: E402, F401
+from . import audit, changes, documents, facets, graph, hydrate, insight, knowledge, knowledge_rows, lexicon, olap, planning, ranking, retrieval, services, shelves, streams, texts, walks  # noqa: E402, F401
