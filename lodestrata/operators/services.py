@@ -73,8 +73,8 @@ YEAR_MARKERS = ("as of", "current", "currently", "recent", "this year", "up to d
 
 
 def time_range(question: Column | str) -> Column:
-    """day, month or year where a question asks for what is fresh, else null."""
-    low = F.trim(F.regexp_replace(F.lower(tx.as_column(question)), r"\s+", " "))
+    """day, month or year where a question asks for what is fresh, else null; hyphens stand for blanks."""
+    low = F.trim(F.regexp_replace(F.lower(tx.as_column(question)), r"[\s-]+", " "))
     flat = tx.padded(low)
     has = lambda markers: F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m))
     word = lambda words: F.exists(F.array(*[F.lit(f" {w} ") for w in words]), lambda w: F.contains(flat, w))

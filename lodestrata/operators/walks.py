@@ -9,11 +9,12 @@ from ..functions import web
 from . import relational as rel
 from .graph import GENERIC, STRONG
 
-# Names that are no entities, types and id prefixes of provenance nodes, predicates that define.
+# A list of our own: words and parts of books that are no names of entities.
 STOP_NAMES = (
     "and", "or", "the", "this", "that", "these", "those", "it", "its", "they", "left", "middle", "right", "up", "down",
     "chapter", "section", "figure", "table", "page", "appendix", "author", "authors", "example", "the book",
 )
+# Types and id prefixes of provenance nodes, predicates that define.
 NOISE_TYPES = ("document", "timereference", "time_reference", "date")
 NOISE_PREFIXES = ("document:", "timereference:", "date:")
 DEFINING = ("is_a", "defines", "part_of", "uses")

@@ -80,6 +80,17 @@ def parity_full_outer(t):
     return rel.parity(e, t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n")), ["k"], "n")
 
 
+@query(sql="""WITH p AS (SELECT doc_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS text FROM documents WHERE doc_id % 9 > 0), q AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN lower(text) || ' x' ELSE lower(text) END AS text FROM documents WHERE doc_id % 8 > 0)
+SELECT coalesce(p.doc_id, q.doc_id) AS doc_id, CASE WHEN q.doc_id IS NULL THEN 'missing' WHEN p.doc_id IS NULL THEN 'unexpected' WHEN sha256(p.text) = sha256(regexp_replace(q.text, '\\s+', ' ', 'g')) THEN 'equal' ELSE 'differs' END AS status FROM p FULL JOIN q USING (doc_id)""")
+def text_parity(t):
+    """Documents of two stores compared by their text, blanks apart; hashes are shuffled, not texts."""
+    flat = lambda c: F.sha2(F.regexp_replace(c, r"\s+", " "), 256)
+    d = t.documents
+    one = d.where("doc_id % 9 > 0").select("doc_id", flat(F.lower("text")).alias("h"))
+    two = d.where("doc_id % 8 > 0").select("doc_id", flat(F.when(F.col("doc_id") % 6 == 0, F.concat(F.lower("text"), F.lit(" x"))).otherwise(F.lower("text"))).alias("h"))
+    return rel.parity(one, two, ["doc_id"], "h").select("doc_id", "status")
+
+
 @query(sql="SELECT d.doc_id, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l USING (doc_id)")
 def doc_existence(t):
     d = t.documents.select("doc_id").join(t.labels.select("doc_id", F.lit(True).alias("labelled")).distinct(), "doc_id", "left")

@@ -25,7 +25,7 @@ def freshness_epochs(t):
     return s.epochs(now, before.where("source not like '%5'"), "source").select("source", "epoch")
 
 
-_ASK = "(SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'What happened TODAY in ' || text WHEN 1 THEN 'latest release notes' WHEN 2 THEN 'is it up to date' WHEN 3 THEN 'plans for 2026' ELSE text END AS q FROM conversations)"
+_ASK = "(SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'What happened TODAY in ' || text WHEN 1 THEN 'latest release notes' WHEN 2 THEN 'is it up-to-date' WHEN 3 THEN 'plans for 2026' ELSE text END AS q FROM conversations)"
 
 
 def _list(words):
@@ -33,11 +33,11 @@ def _list(words):
 
 
 @query(sql=f"""SELECT conv_id, turn, CASE WHEN len(list_filter({_list(s.DAY_WORDS)}, lambda w: contains(flat, ' ' || w || ' '))) > 0 OR len(list_filter({_list(s.DAY_PHRASES)}, lambda m: contains(low, m))) > 0 THEN 'day' WHEN len(list_filter({_list(s.MONTH_MARKERS)}, lambda m: contains(low, m))) > 0 THEN 'month'
- WHEN len(list_filter({_list(s.YEAR_MARKERS)}, lambda m: contains(low, m))) > 0 OR regexp_matches(low, '\\b202[4-9]\\b') THEN 'year' END AS time_range FROM (SELECT conv_id, turn, low, ' ' || trim(regexp_replace(low, '[^a-z0-9]+', ' ', 'g')) || ' ' AS flat FROM (SELECT conv_id, turn, trim(regexp_replace(lower(q), '\\s+', ' ', 'g')) AS low FROM {_ASK}))""")
+ WHEN len(list_filter({_list(s.YEAR_MARKERS)}, lambda m: contains(low, m))) > 0 OR regexp_matches(low, '\\b202[4-9]\\b') THEN 'year' END AS time_range FROM (SELECT conv_id, turn, low, ' ' || trim(regexp_replace(low, '[^a-z0-9]+', ' ', 'g')) || ' ' AS flat FROM (SELECT conv_id, turn, trim(regexp_replace(lower(q), '[\\s-]+', ' ', 'g')) AS low FROM {_ASK}))""")
 def query_time_range(t):
     """How fresh a question wants its answers."""
     n = F.col("turn") % 6
-    q = F.when(n == 0, F.concat(F.lit("What happened TODAY in "), "text")).when(n == 1, "latest release notes").when(n == 2, "is it up to date").when(n == 3, "plans for 2026").otherwise(F.col("text"))
+    q = F.when(n == 0, F.concat(F.lit("What happened TODAY in "), "text")).when(n == 1, "latest release notes").when(n == 2, "is it up-to-date").when(n == 3, "plans for 2026").otherwise(F.col("text"))
     return t.conversations.select("conv_id", "turn", s.time_range(q).alias("time_range"))
 
 
