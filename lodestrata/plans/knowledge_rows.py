@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import knowledge_rows as k
+from ..operators import observations
 from .ranking import CAND, candidates
 from .registry import query
 from .walks import RELATION, relations
@@ -69,3 +70,9 @@ SELECT query_id, item, seat, step::BIGINT AS step FROM (SELECT *, row_number() O
 def facet_lane_selection(t):
     """Final rows with the missing languages first, under quotas of language and source."""
     return k.facet_lanes(candidates(t), "query_id", "item", "lang", "doc", "score", ["fr", "es"], 9, 3, 2)
+
+
+@query()
+def semantic_observations(t):
+    """Predicates of clauses with their nearest names and qualifiers; tests hold them against a plain version."""
+    return observations.observations(t.documents, "doc_id", "text").withColumn("qualifiers", F.array_join("qualifiers", ","))
