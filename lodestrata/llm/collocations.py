@@ -21,7 +21,7 @@ from .common import _LOWER, buffers, cut, left_join_skewed, numbered, runs, span
 
 MAX_N, LEAST, TOP = 4, 30, 2_000
 #: Bytes of text of one language whose equal suffixes are counted together before the shuffle.
-SLICE = 4_000_000
+SLICE = 2_000_000
 #: First words are hot that begin this share of the words of a sample of about so many documents; so are
 #: pairs and triples. The sample decides how rows are dealt to tasks, never what is counted.
 HOT_SHARE, SAMPLE = 1 / 1_000, 4_000
@@ -34,7 +34,11 @@ _FOLD = np.frombuffer(_LOWER, np.uint8)
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... for size[0] numbers, then those of start[1], and so on."""
     end = np.cumsum(size)
-    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+    total = int(end[-1]) if len(end) else 0
+    kind = np.int32 if total + int(start.max(initial=0)) < 2**31 else np.int64  # half the memory where it fits
+    out = np.repeat((start - (end - size)).astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def suffixes(texts: pa.Array, head: bytes, max_n: int = MAX_N) -> pa.Array:
