@@ -181,5 +181,5 @@ def document_clusters(t):
 
     e = t.embeddings.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     n = max(2, int((t.embeddings.count() / 2) ** 0.5))
-    model = KMeans(k=min(n, 200), seed=42, distanceMeasure="cosine", maxIter=10).fit(e)
+    model = KMeans(k=n, seed=42, distanceMeasure="cosine", maxIter=10).fit(e)
     return model.transform(e).select("vec_id", F.col("prediction").cast("long").alias("cluster"))
