@@ -39,12 +39,12 @@ def anchor_score(query: Column, label: Column, document: bool = False) -> Column
     return F.when(q == n, 1.0).when(inside, 0.95).when((F.size(qt) >= 2) & pad(n).contains(pad(q)), 0.88).when(shared >= 2, F.least(F.lit(0.86), 0.55 + 0.25 * cov + 0.10 * qcov)).otherwise(0.0)
 
 
-def lane_grounding(hay: Column, phrases: Column, terms: Column) -> Column:
+def lane_grounding(hay: Column, phrases: Column, terms: Column, held: Column | None = None) -> Column:
     """2 + coverage if a phrase of two tokens or more occurs, else coverage; halved for a two-token or numbered first phrase without a match.
 
-    The text, the phrases and the terms are ``padded``, each once.
+    The text, the phrases and the terms are ``padded``, each once; ``held`` is the number of terms in the text where that is known.
     """
-    cov = F.size(F.filter(terms, lambda t: F.contains(hay, t))) / F.greatest(F.size(terms), F.lit(1))
+    cov = (F.size(F.filter(terms, lambda t: F.contains(hay, t))) if held is None else held) / F.greatest(F.size(terms), F.lit(1))
     exact = F.exists(phrases, lambda p: p.rlike("^ [^ ]+ [^ ]") & F.contains(hay, p))
     first = F.get(phrases, F.lit(0))
     weak = first.rlike("^ [^ ]+ [^ ]+ $") | first.rlike("[0-9]")

@@ -49,17 +49,52 @@ def in_blocks(queries: DataFrame, query_id: str, search) -> DataFrame:
     return reduce(DataFrame.union, [cut(search(queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i))) for i in range(blocks)])
 
 
-def against_all(docs: DataFrame, id_col: str, queries: DataFrame, query_id: str, bound: Column, score, least: float) -> DataFrame:
+def _near(block: DataFrame, words: str, hits: str):
+    """A function of padded texts: places (in ``block``, rows in order) of the queries of which a text holds ``hits`` distinct words, and how many it holds."""
+    got = block.select(words, hits).toPandas()
+    asked = [np.unique(np.array(list(w if w is not None else ()), object).astype(str)) for w in got[words]]
+    vocabulary, term = np.unique(np.concatenate([np.zeros(0, str), *asked]), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    query = np.repeat(np.arange(len(asked)), [len(w) for w in asked])[order]
+    shared = block.sparkSession.sparkContext.broadcast((vocabulary, np.searchsorted(term[order], np.arange(len(vocabulary) + 1)), query, got[hits].to_numpy(np.int64)))
+
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("n", pa.int32())]))
+
+    def near(flat: pa.Array) -> pa.Array:
+        vocabulary, at, query, need = shared.value
+        names, rows, out = pa.array(vocabulary, pa.string()), min(1_000, max(1, SCORES // max(1, len(need)))), [pa.array([], kind)]
+        for i in range(0, len(flat), rows):
+            part = flat.slice(i, rows)
+            lists, n = pc.split_pattern(part.fill_null(""), " "), len(part)
+            word, doc = pc.index_in(lists.flatten(), value_set=names), pc.list_parent_indices(lists).to_numpy()
+            there = word.is_valid().to_numpy(zero_copy_only=False)
+            pair = np.unique(doc[there].astype(np.int64) * len(vocabulary) + word.drop_null().to_numpy())
+            doc, word = pair // max(1, len(vocabulary)), pair % max(1, len(vocabulary))
+            count = at[word + 1] - at[word]
+            to = np.repeat(at[word] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            held = np.bincount(np.repeat(doc, count) * len(need) + query[to], minlength=n * len(need)).reshape(n, len(need))
+            row, place = np.nonzero(held >= need)
+            out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(held[row, place], pa.int32())], ["i", "n"])))
+        return pa.concat_arrays(out)
+
+    return F.arrow_udf(near, "array<struct<i:int,n:int>>")
+
+
+def against_all(docs: DataFrame, id_col: str, queries: DataFrame, query_id: str, bound: Column, score, least: float, flat, words: str, hits: str) -> DataFrame:
     """(id_col, query_id, score) with score above ``least``: a stated query set against all rows, without a shuffle.
 
-    The queries of a block ride along with every row as one array; what ``bound`` makes of a row
-    is made once for all of them, and ``score(bound, query)`` sees both.
+    What ``bound`` makes of a row is made once; ``flat(bound)`` is its text as single words between
+    blanks. A query's ``words`` are distinct words, of which a row must hold ``hits``, one at least,
+    to score above ``least``: the words of an Arrow batch are looked up among those of all queries of a
+    block, and ``score(bound, query, held)`` sees only the pairs that hold enough.
     """
 
     def search(block: DataFrame) -> DataFrame:
-        one = F.broadcast(block.agg(F.collect_list(F.struct("*")).alias("_q")))
-        made = F.transform(F.array(bound), lambda b: F.filter(F.transform("_q", lambda q: F.struct(q[query_id].alias(query_id), score(b, q).alias("score"))), lambda s: s["score"] > least))[0]
-        return docs.crossJoin(one).select(id_col, F.inline(made))  # one row on the right
+        block = cut(block.agg(F.collect_list(F.struct("*")).alias("_q"))).select(F.posexplode("_q").alias("_i", "_q"))  # in one order for both uses
+        near = _near(block.select("_q.*"), words, hits)
+        made = docs.select(id_col, bound.alias("_b"))
+        made = made.select(id_col, "_b", F.inline(near(flat(F.col("_b")))).alias("_i", "_n")).join(F.broadcast(block), "_i")  # a block is bounded
+        return made.select(id_col, F.col("_q")[query_id].alias(query_id), score(F.col("_b"), F.col("_q"), F.col("_n")).alias("score")).where(F.col("score") > least)
 
     return in_blocks(queries, query_id, search)
 

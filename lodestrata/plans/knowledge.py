@@ -46,8 +46,9 @@ def fuzzy_anchor(t):
 def lane_grounding(t):
     """Grounding of all documents in a lane of each benchmark passage."""
     flat = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
-    lanes = t.benchmark.select("item_id", F.array(text.padded(flat)).alias("phrases"), F.transform(F.array_distinct(text.words("text")), text.padded).alias("terms"))
-    x = r.against_all(t.documents, "doc_id", lanes, "item_id", text.padded("text"), lambda hay, q: k.lane_grounding(hay, q["phrases"], q["terms"]), 0.749999)
+    terms = F.array_distinct(text.words("text"))
+    lanes = t.benchmark.select("item_id", F.array(text.padded(flat)).alias("phrases"), F.transform(terms, text.padded).alias("terms"), terms.alias("words"), F.greatest(F.lit(1), F.ceil(F.size(terms) * 0.749999).cast("int")).alias("hits"))
+    x = r.against_all(t.documents, "doc_id", lanes, "item_id", text.padded("text"), lambda hay, q, n: k.lane_grounding(hay, q["phrases"], q["terms"], n), 0.749999, lambda hay: hay, "words", "hits")
     return x.where("score < 1.000001 or score >= 2.75").select("doc_id", "item_id", F.round("score", 6).alias("grounding"))
 
 
