@@ -92,8 +92,8 @@ def text_index(docs: DataFrame, doc: str, queries: DataFrame, query: str, terms:
         words = words.unionByName(p)
     tf = words.join(vocabulary, "term", "left_semi").groupBy(doc, "term").agg(F.sum("w").alias("tf"))
     s = tf.join(asked, "term").groupBy(query, doc).agg(F.sum("tf").alias("raw"))
-    top = F.max("raw").over(Window.partitionBy(query))
-    return rel.top_per_key(s.withColumn("score", F.round(F.col("raw") / top, 4)), [query], [F.desc("raw"), doc], k).drop("raw")
+    best = rel.top_per_key(s, [query], [F.desc("raw"), doc], k)  # the greatest is among them, so each task may drop the rest before the shuffle
+    return best.withColumn("score", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy(query)), 4)).select(query, doc, "score", "rank")
 
 
 def metrics_boost(pool: DataFrame, degree: DataFrame, rank: DataFrame, item: str, score: str, edges: int) -> DataFrame:
