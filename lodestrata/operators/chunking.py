@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batches
+
 # Chunk budgets in tokens.
 PARENT_TARGET, PARENT_MIN, PARENT_MAX, CHILD_TARGET, FRAGMENT_FLOOR = 1200, 400, 1800, 128, 24
 
@@ -170,11 +172,12 @@ def routed(text: str, target: int, most: int, count: Callable[[str], int] = coun
 
 def structured_pieces(df: DataFrame, id_col: str, text: str, target: int = CHILD_TARGET, most: int = 2 * CHILD_TARGET) -> DataFrame:
     """(id, i, kind, piece, n_tokens) of each block (text between blank lines) of each document, by the block's shape."""
+    chars = batches.RUN_CHARS
 
     def run(frames):
-        for f in frames:
+        for f, (a, b) in ((f, run) for f in frames for run in batches.runs(f[text], chars)):
             rows = []
-            for key, t in zip(f[id_col], f[text], strict=True):
+            for key, t in zip(f[id_col].iloc[a:b], f[text].iloc[a:b], strict=True):
                 i = 0
                 for block in re.split(r"\n\s*\n", t or ""):
                     kind = "list" if is_list(block) else "lines" if is_line_structured(block) else "prose"
