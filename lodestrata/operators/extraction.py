@@ -14,11 +14,10 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import web
+from ..functions.batches import text_udf
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def script_tokens(texts: pd.Series) -> pd.Series:
-    """Tokens of NFKC text, cut where the script changes; connectors split, Latin folded, CJK in bigrams."""
+def _script_tokens(texts: pd.Series) -> pd.Series:
 
     def script(c):
         if "一" <= c <= "鿿" or "぀" <= c <= "ヿ" or "가" <= c <= "힣":
@@ -42,6 +41,11 @@ def script_tokens(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+def script_tokens(texts: str | Column) -> Column:
+    """Tokens of NFKC text, cut where the script changes; connectors split, Latin folded, CJK in bigrams."""
+    return text_udf(_script_tokens, T.ArrayType(T.StringType()))(texts)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def split_long_lines(texts: pd.Series) -> pd.Series:
     """Lines; one of over 5000 characters is cut at the last blank or mark of each 2000-character window."""
