@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.batches import text_udf
+
 # A list of our own: wordings of predicates and qualifiers for the tagger without a model.
 PREDICATES = ("is", "are", "was", "were", "has", "have", "had", "uses", "used", "causes", "caused", "requires", "supports", "contains", "includes", "improves", "reduces", "est", "sont", "ist", "sind", "es", "son")
 QUALIFIERS = {
@@ -48,7 +50,7 @@ def observations(docs: DataFrame, id_col: str, text_col: str, version: str = "1"
     The id is a hash of version, document, places and values, so running again gives the same ids. A
     null or empty text has none; repeated documents give their rows each.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.pandas_udf(tagger or regex_tagger(), TAGS)(F.col(text_col)).alias("_t"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), text_udf(tagger or regex_tagger(), TAGS)(F.col(text_col)).alias("_t"))
     tagged = numbered.select("_row", id_col, F.inline("_t"))
     w = Window.partitionBy("_row").orderBy("start", (F.col("kind") != "clause").cast("int")).rowsBetween(Window.unboundedPreceding, 0)
     clause = F.last(F.when(F.col("kind") == "clause", F.struct("start", "end")), ignorenulls=True).over(w)
