@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from lodestrata.operators import centrality
 from lodestrata.operators import graph as g
 
 
@@ -28,6 +29,11 @@ def test_components_of_groups(rows, edges):
     assert got == want and len({c for _, c in got}) > 2
 
 
+def test_bridges_of_groups(rows, edges):
+    got, want = both(centrality.bridges_of_groups(rows, "g", "x"), centrality.bridges(edges))
+    assert got == want and (91, 92) in got and (90, 91) not in got and len(got) > 3
+
+
 def test_a_large_group_costs_its_members(spark):
     rows = spark.range(20_000).selectExpr("id % 2 as g", "id as x")  # 100 million pairs
     assert g.components(g.stars(rows, "g", "x")).select("component").distinct().count() == 2
