@@ -37,3 +37,12 @@ def test_bridges_of_groups(rows, edges):
 def test_a_large_group_costs_its_members(spark):
     rows = spark.range(20_000).selectExpr("id % 2 as g", "id as x")  # 100 million pairs
     assert g.components(g.stars(rows, "g", "x")).select("component").distinct().count() == 2
+
+
+@pytest.mark.parametrize("block", [2, 1_000])
+def test_merged_members_are_paired_once(spark, rows, edges, block):
+    stones = spark.createDataFrame([(x, x - x % 5) for x in range(93) if x % 5 in (1, 4)] + [(60, 92)], "node long, survivor long")
+    merged = g.cooccurrence(rows, "g", "x", 1, block, survivors=stones)
+    got, want = both(merged, g.redirect(edges, stones))
+    assert got == want and max(w for *_, w in got) > 2
+    assert merged._jdf.queryExecution().analyzed().toString().count("sum(") == 1  # edges are folded once
