@@ -114,6 +114,32 @@ def test_betweenness(spark, monkeypatch, block, state):
     assert got == pytest.approx({x: v / 2 for x, v in want.items()}, abs=1e-7)
 
 
+@pytest.mark.parametrize("local,place", [(10**6, 10**6), (100, 30), (100, 10), (30, 10), (0, 0)])
+def test_betweenness_by_components_and_rounds(spark, monkeypatch, local, place):
+    """One place, components that share places, components by themselves, and rounds, alone or beside them."""
+    for name, value in {"LOCAL_EDGES": local, "PLACE_EDGES": max(1, place), "STEP_EDGES": 7, "STATE_BYTES": 6_000, "BLOCK_EDGES": 40}.items():
+        monkeypatch.setattr(centrality, name, value)
+    rng, edges = random.Random(12), []
+    for i, (n, m) in enumerate([(30, 60), (12, 20), (5, 6), (3, 2), (20, 24)]):
+        edges += [(a + 1_000_003 * i, b + 1_000_003 * i) for a, b in some_graph(rng, n, m)]
+    want = brandes(edges)
+    walked, rounds = [], centrality._by_rounds
+    monkeypatch.setattr(centrality, "_by_rounds", lambda *a: walked.append(1) or rounds(*a))
+    got = {r.node: r.value for r in centrality.betweenness(frame(spark, edges), normalized=False).collect()}
+    assert got == pytest.approx({x: v / 2 for x, v in want.items()}, abs=1e-7)
+    assert bool(walked) == (local < 60)
+
+
+def test_betweenness_copies_no_edges_for_a_batch(spark, monkeypatch):
+    """Edges reach each slot once, however many batches of sources there are."""
+    monkeypatch.setattr(centrality, "STATE_BYTES", 6_000)
+    seen, real = [], centrality._in_one_place
+    monkeypatch.setattr(centrality, "_in_one_place", lambda wire, drawn: seen.append(wire.count()) or real(wire, drawn))
+    edges = [(i, i + 1) for i in range(300)]
+    got = {r.node: r.value for r in centrality.betweenness(frame(spark, edges), normalized=False).collect()}
+    assert got == {i: i * (300 - i) for i in range(301)} and seen[0] <= 4 * len(edges) // 300 + 4
+
+
 def test_sampled_betweenness_finds_the_top(spark):
     rng = random.Random(8)
     hubs = list(range(20))
