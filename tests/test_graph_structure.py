@@ -68,6 +68,21 @@ def test_louvain_finds_planted_groups_and_ranks_them(spark):
         assert r.bridges == sum((label[u] == r.community) != (label[v] == r.community) for u, v, _ in edges)
 
 
+def test_louvain_of_many_blocks_moves_no_edges(spark, monkeypatch):
+    """Blocks of ten edges tell what one block tells; a round deals labels only."""
+    rng = random.Random(5)
+    df = frame(spark, [(u * 10, v * 10, rng.randint(1, 3)) for u, v in some_graph(rng, 30, 90)]).cache()
+    want, trace = communities.louvain(df, max_passes=1)
+    monkeypatch.setattr(communities, "BLOCK_EDGES", 10)
+    got, again = communities.louvain(df, max_passes=1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and again == pytest.approx(trace)
+    parts = communities.blocks(graph.both_ways(df))
+    k = communities._degrees(parts)
+    assert parts.lists.count() > 5 and {r.node: r.k for r in k.collect()} == {r.node: r.strength for r in graph.degrees(df).collect()}
+    plan = communities._best(parts, k.withColumn("c", F.col("node")), 2.0, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "names#" in plan and not any("Exchange" in line and "names" in line for line in plan.splitlines())
+
+
 def test_louvain_of_no_edges(spark):
     assert communities.louvain(frame(spark, []))[0].count() == 0
 
