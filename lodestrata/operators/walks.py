@@ -60,17 +60,19 @@ def usable(relations: DataFrame) -> DataFrame:
     return r.select(F.col("subject").alias("src"), F.col("object").alias("dst"), "predicate", "weight", "chunk").union(r.select("object", "subject", "predicate", "weight", "chunk"))
 
 
-def relation_walk(mentions: DataFrame, relations: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+def relation_walk(mentions: DataFrame, relations: DataFrame, seeds: DataFrame, k: int, parts: int | None = None) -> DataFrame:
     """(chunk, score, via): chunks that mention entities related to those of the seed chunks, the k best.
 
     score sums, over all paths, mention confidence * relation weight * mention confidence (null
-    counts as .5); via is the number of related entities. Mentions are (chunk, entity, conf).
+    counts as .5); via is the number of related entities. Mentions are (chunk, entity, conf). With
+    ``parts`` mentions and relations are dealt to so many tasks, so that what a task sorts need not grow with the input.
     """
+    deal = lambda df, key: df.repartition(parts, key) if parts else df
     conf = F.coalesce("conf", F.lit(0.5))
     start = mentions.join(seeds, "chunk", "left_semi").select(F.col("entity").alias("src"), conf.alias("c1")).groupBy("src").agg(F.sum("c1").alias("c1"))
-    near = start.join(relations.select("src", "dst", "weight"), "src").groupBy(F.col("dst").alias("entity")).agg(F.sum(F.col("c1") * F.col("weight")).alias("c2"))
-    found = mentions.join(seeds, "chunk", "left_anti").select("chunk", "entity", conf.alias("c3")).join(near, "entity")
-    out = found.groupBy("chunk").agg(F.round(F.sum(F.col("c2") * F.col("c3")), 6).alias("score"), F.countDistinct("entity").alias("via"))
+    near = start.join(deal(relations.select("src", "dst", "weight"), "src"), "src").groupBy(F.col("dst").alias("entity")).agg(F.sum(F.col("c1") * F.col("weight")).alias("c2"))
+    found = deal(mentions.join(seeds, "chunk", "left_anti").select("chunk", "entity", conf.alias("c3")), "entity").join(near, "entity")
+    out = deal(found, "chunk").groupBy("chunk").agg(F.round(F.sum(F.col("c2") * F.col("c3")), 6).alias("score"), F.countDistinct("entity").alias("via"))
     return out.orderBy(F.desc("score"), "chunk").limit(k)
 
 

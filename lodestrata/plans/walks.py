@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import walks as w
+from ..operators.graph import TASK_ROWS
 from .registry import Tables, query
 
 MENTION = "(SELECT l_orderkey AS chunk, l_partkey AS entity, max(l_discount * 10) AS conf FROM lineitem GROUP BY ALL)"
@@ -19,6 +20,13 @@ def mentions(t: Tables):
     return t.lineitem.groupBy(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity")).agg(F.max(F.col("l_discount") * 10).alias("conf"))
 
 
+def _dealt(t: Tables):
+    """Mentions, and the number of tasks that the rows ask for: those of an order lie in one of them."""
+    n = t.lineitem.count() // TASK_ROWS + 1
+    m = t.lineitem.select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity"), "l_discount").repartition(n, "chunk")
+    return m.groupBy("chunk", "entity").agg(F.max(F.col("l_discount") * 10).alias("conf")), n
+
+
 def relations(t: Tables):
     predicate = F.when(F.col("l_returnflag") == "R", "related_to").when(F.col("l_returnflag") == "A", "uses").otherwise("calls")
     strength = F.when(F.col("l_linenumber") % 3 == 1, "strong").when(F.col("l_linenumber") % 3 == 2, "repaired")
@@ -41,13 +49,15 @@ SELECT chunk, round(sum(c2 * conf), 6) AS score, count(DISTINCT entity) AS via F
 @query(sql=_walk_sql(USABLE))
 def relation_walk(t):
     """Chunks reached from the seed chunks over usable relations."""
-    return w.relation_walk(mentions(t), w.usable(relations(t)), seeds(t), 40)
+    m, n = _dealt(t)
+    return w.relation_walk(m, w.usable(relations(t)), seeds(t), 40, n)
 
 
 @query(sql=_walk_sql(f"(SELECT subject AS src, object AS dst, confidence AS weight FROM {RELATION} WHERE predicate = 'calls' AND subject <> object UNION ALL SELECT object, subject, confidence FROM {RELATION} WHERE predicate = 'calls' AND subject <> object)"))
 def call_walk(t):
     """The same walk over call edges."""
-    return w.relation_walk(mentions(t), w.calls(relations(t)), seeds(t), 40)
+    m, n = _dealt(t)
+    return w.relation_walk(m, w.calls(relations(t)), seeds(t), 40, n)
 
 
 @query(sql=f"""WITH m AS MATERIALIZED (SELECT * FROM {MENTION}), mine AS (SELECT DISTINCT entity FROM m WHERE chunk % 500 = 0), b AS (SELECT p_partkey AS a, p_partkey + 1 AS b, 0.3 + (p_partkey % 7) * 0.1 AS score FROM part WHERE p_partkey % 5 = 0),
